@@ -8,7 +8,7 @@ ship the corpus ``win`` times, so the exchange works on *anchored runs*:
   it (leftmost on ties).  Equal windows pick the same anchor at the same offset,
   and consecutive windows mostly pick the same one, so a run of windows is one
   record: an anchor position and the first and last window offset ``d0..d1``;
-* pass A sends each batch's distinct anchor hashes (8 bytes each, one per batch
+* pass A sends each batch's distinct anchor hashes (4 bytes each, one per batch
   however many copies it holds) to hash buckets, which answer with the hashes
   that occur in two documents at least;
 * pass B sends the text around shared anchors to buckets keyed by the anchor.
@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +196,14 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
+def sign(h: np.ndarray, n: int) -> np.ndarray:
+    """Bucket and 31 more bits of a hash, lowest bit set: what pass A tells anchors apart by.
+
+    Two anchors of a bucket that agree in it only cost records that pass B finds unequal.
+    """
+    return (bucket_of(h, n).astype(np.uint64) << U(32)) | (h & U(0xFFFFFFFE)) | U(1)
+
+
 def _first(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the index of a row with the smallest id of each, the smallest id for each row."""
     order = np.lexsort((ids, keys))
@@ -243,7 +252,7 @@ def _anchors(method: Method, plan: Plan):
         ids, found, docs = _ids(t), [], []
         for c in chunks(method.tokens(t), plan.win):
             r = runs_of(*c, method.symbols, plan)
-            found.append(r.anchor | U(1))
+            found.append(sign(r.anchor, plan.buckets))
             docs.append(ids[r.doc])
         if not found:
             return _blob([], ANCHORS)
@@ -253,9 +262,9 @@ def _anchors(method: Method, plan: Plan):
         new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         end = np.append(new[1:], len(a)) - 1
         a = a[new] - (d[new] == d[end]).astype(np.uint64)  # lowest bit: two documents of this batch have it
-        b = bucket_of(a, plan.buckets)
+        b = (a >> U(32)).astype(np.int64)
         cut = np.append(np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])), len(b))
-        batch = t["batch"][0].as_py()
+        batch, a = t["batch"][0].as_py(), a.astype(np.uint32)
         return _blob([(int(b[i]), batch, a[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])], ANCHORS)
 
     return fn
@@ -263,24 +272,24 @@ def _anchors(method: Method, plan: Plan):
 
 def _shared(plan: Plan):
     def fn(t: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, dtype=np.uint64) for x in t["data"].to_pylist()]
-        batch = np.repeat(t["batch"].to_numpy(), [len(x) for x in blobs])
+        blobs = [np.frombuffer(x, dtype=np.uint32) for x in t["data"].to_pylist()]
+        batch, bucket = np.repeat(t["batch"].to_numpy(), [len(x) for x in blobs]), t["bucket"][0].as_py()
         a = np.concatenate(blobs)
-        key = a | U(1)
+        key = a | np.uint32(1)
         order = np.argsort(key, kind="stable")
         k = key[order]
         new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         n = np.diff(np.append(new, len(k)))
-        many = np.maximum.reduceat((a[order] & U(1)).astype(np.uint8), new)
+        many = np.maximum.reduceat((a[order] & np.uint32(1)).astype(np.uint8), new)
         out = np.repeat((n > 1) | (many > 0), n)
-        word = k - np.repeat(n <= plan.hot, n).astype(np.uint64)  # lowest bit: dealt by window
+        word = k - np.repeat(n <= plan.hot, n).astype(np.uint32)  # lowest bit: dealt by window
         word, where = word[out], batch[order][out]
         by = np.argsort(where, kind="stable")
         word, where = word[by], where[by]
         if not len(word):
             return _blob([], ANSWERS)
         cut = np.append(np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])), len(where))
-        return _blob([(int(where[i]), 0, word[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])], ANSWERS)
+        return _blob([(int(where[i]), bucket, word[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])], ANSWERS)
 
     return fn
 
@@ -291,14 +300,16 @@ def _records(method: Method, plan: Plan):
     def fn(docs: pa.Table, right: pa.Table) -> pa.Table:
         if not docs.num_rows or not right.num_rows:
             return _blob([], RECORDS)
-        words = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in right["data"].to_pylist()]))
+        words = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint32) | U(b << 32) for b, x in zip(right["kind"].to_pylist(), right["data"].to_pylist())]))
         known, hot = words | U(1), (words & U(1)).astype(bool)
         ids, batch, rows = _ids(docs), docs["batch"][0].as_py(), []
+        zip_ = zstandard.ZstdCompressor(level=3)
         sent = np.zeros(0, dtype=np.uint64)  # documents come in order of their ids: the first record of a key has the smallest
         for c in chunks(method.tokens(docs), plan.win):
             r = runs_of(*c, method.symbols, plan)
-            at = np.minimum(np.searchsorted(known, r.anchor | U(1)), len(known) - 1)
-            mine = known[at] == r.anchor | U(1)
+            signed = sign(r.anchor, plan.buckets)
+            at = np.minimum(np.searchsorted(known, signed), len(known) - 1)
+            mine = known[at] == signed
             cold = np.flatnonzero(mine & ~hot[at])
             run, d, wkey = windows_of(r, plan, np.flatnonzero(mine & hot[at]))
             for pick, d0, d1, key, route in ((cold, r.d0[cold], r.d1[cold], run_key(r, plan, cold), r.anchor[cold]), (run, d, d, wkey, wkey)):
@@ -317,7 +328,7 @@ def _records(method: Method, plan: Plan):
                 cut = np.append(np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])), len(b))
                 for i, j in zip(cut[:-1], cut[1:]):
                     body = method.pack(r, pick[i:j], d0[i:j], d1[i:j], plan)
-                    rows.append((int(b[i]), batch, 0, int(j - i), rec[i:j].tobytes() + body))
+                    rows.append((int(b[i]), batch, 0, int(j - i), rec[i:j].tobytes() + zip_.compress(body)))
         hots = words[hot]
         if len(hots):  # pass C must know which anchors went window by window
             rows.append((batch % plan.buckets, batch, 1, len(hots), (hots | U(1)).tobytes()))
@@ -330,13 +341,14 @@ def _answers(method: Method, plan: Plan):
     head = np.dtype([("key", "u8"), ("anchor", "u8"), ("id", "i8"), ("d0", "u1"), ("d1", "u1")])
 
     def fn(t: pa.Table) -> pa.Table:
+        unzip = zstandard.ZstdDecompressor()
         out, heads, bodies, batches = [], [], [], []
         for batch, kind, n, data in zip(t["batch"].to_pylist(), t["kind"].to_pylist(), t["n"].to_pylist(), t["data"].to_pylist()):
             if kind:
                 out.append((batch, 2, data))
                 continue
             heads.append(np.frombuffer(data, dtype=head, count=n))
-            bodies.append((n, memoryview(data)[n * head.itemsize :]))
+            bodies.append((n, unzip.decompress(memoryview(data)[n * head.itemsize :])))
             batches.append(np.full(n, batch))
         if heads:
             rec, batch = np.concatenate(heads), np.concatenate(batches)
@@ -367,7 +379,7 @@ def _apply(method: Method, plan: Plan):
         ids, kept = _ids(docs), []
         for c in chunks(method.tokens(docs), plan.win):
             r = runs_of(*c, method.symbols, plan)
-            is_hot = np.isin(r.anchor | U(1), hots) if len(hots) else np.zeros(len(r.pos), dtype=bool)
+            is_hot = np.isin(sign(r.anchor, plan.buckets), hots) if len(hots) else np.zeros(len(r.pos), dtype=bool)
             cold = np.flatnonzero(~is_hot)
             run, d, wkey = windows_of(r, plan, np.flatnonzero(is_hot))
             pick = np.concatenate([cold, run])
