@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, packing, suffix_dedup
+from . import automaton_dedup, packing, quality_rules, suffix_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,16 @@ def op7_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_dedup.query(read(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_suffix_dedup, op7_automaton_dedup, op9_best_fit_packing]
+    found = [op1_suffix_dedup, op7_automaton_dedup, op8_quality_rules, op9_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
