@@ -67,6 +67,20 @@ class Scratch:
             self._delete(self.base)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has a key once.
+
+    Keys that hold more than 1/``share`` of the left rows are at most ``share``;
+    their right rows are broadcast, so no key gathers in one task.  All other
+    keys are shuffled.  ``left`` should be a written table: it is read three times.
+    """
+    total = left.count()
+    many = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > total / share).filter(F.col("_n") > 1).select(key)
+    hot = F.broadcast(right.join(F.broadcast(many), key))
+    cold = left.join(F.broadcast(many), key, "left_anti")
+    return left.join(hot, key).unionByName(cold.join(right, key))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, packing, quality_rules, suffix_dedup
+from . import automaton_dedup, packing, quality_rules, simhash, suffix_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.query(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(read(spark, sf_dir, "documents"))
+
+
 def op7_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_dedup.query(read(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_suffix_dedup, op7_automaton_dedup, op8_quality_rules, op9_best_fit_packing]
+    found = [op1_suffix_dedup, op5_simhash, op7_automaton_dedup, op8_quality_rules, op9_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
