@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, packing, quality_rules, simhash, suffix_dedup
+from . import automaton_dedup, decontaminate, language_id, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.query(read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.query(read(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(read(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_dedup.query(read(spark, sf_dir, "documents"))
 
@@ -36,8 +48,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_suffix_dedup, op5_simhash, op7_automaton_dedup, op8_quality_rules, op9_best_fit_packing]
+    found = [op1_suffix_dedup, op2_language_id, op4_quality_classifier, op5_simhash, op6_decontaminate, op7_automaton_dedup, op8_quality_rules, op9_best_fit_packing, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
