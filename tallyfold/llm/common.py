@@ -67,6 +67,16 @@ class Scratch:
             self._delete(self.base)
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows; later filters on ``names`` stay above their computation.
+
+    Catalyst would copy a costly expression into every filter that it pushes
+    down, and into each lambda that mentions it.  It pushes nothing through a
+    generator, so the columns pass one as a single struct.
+    """
+    return df.select(*[F.col(c) for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has a key once.
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, fold
+from .common import WS_CLASS, fold, settle
 
 #: Labelled documents that a list is learned from, at most.
 SAMPLE_ROWS = 4000
@@ -68,7 +68,8 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_at", F.when(F.col("_again"), F.array_sort(F.transform(twice, lambda p: p["i"]))))
     gaps = F.transform("_at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", k + 1) - p, F.lit(WINDOW))))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
-    return df.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(F.lit(0)).cast("long")).drop("_windows", "_again", "_placed", "_at")
+    df = df.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(F.lit(0)).cast("long")).drop("_windows", "_again", "_placed", "_at")
+    return settle(df, "_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _features(text: str) -> dict[str, Column]:

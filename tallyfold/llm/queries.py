@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, decontaminate, language_id, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from . import automaton_dedup, decontaminate, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(read(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_suffix_dedup, op2_language_id, op4_quality_classifier, op5_simhash, op6_decontaminate, op7_automaton_dedup, op8_quality_rules, op9_best_fit_packing, op10_toxicity]
+    found = [op1_suffix_dedup, op2_language_id, op3_license_scan, op4_quality_classifier, op5_simhash, op6_decontaminate, op7_automaton_dedup, op8_quality_rules, op9_best_fit_packing, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
