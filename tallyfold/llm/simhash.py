@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, join_hot, n_partitions
 
@@ -217,6 +218,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _classes(docs: DataFrame, shingle: int, radius: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (doc_id, fp) of each row, and (fp, component_id) of each distinct fingerprint."""
+    marked, _ = scratch.save(fingerprints(docs, shingle), "fingerprints")
+    distinct, _ = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = components(links(distinct, radius), scratch)
+    rooted, _ = scratch.save(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named, _ = scratch.save(join_hot(rooted, names, "root").select("fp", "component_id"), "named")
+    return marked, named
+
+
 def simhash_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for each row.
 
@@ -227,16 +239,33 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int
     all stay.  A row without an id takes part in links and is never the name,
     unless its whole component has no id (then the name is null).
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "simhash")
-    marked, _ = scratch.save(fingerprints(docs, shingle), "fingerprints")
-    distinct, _ = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct, radius), scratch)
-    rooted, _ = scratch.save(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = scratch.save(join_hot(rooted, names, "root").select("fp", "component_id"), "named")
+    marked, named = _classes(docs, shingle, radius, scratch or Scratch(docs.sparkSession, "simhash"))
     return join_hot(marked, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
+    """The documents, with all their columns, that name their component: one of each near-duplicate group.
+
+    Rows with the same id are one document and stay or go together.  Rows
+    without an id go if their component has an id, and all stay if it has none.
+    """
+    _, named = _classes(docs, shingle, radius, scratch or Scratch(docs.sparkSession, "simhash"))
+    chosen = named.filter("component_id is not null").select(F.col("component_id").alias("_chosen")).distinct()
+    kept = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_chosen"), "left_semi")
+    free = named.filter("component_id is null")
+    if not free.limit(1).count():
+        return kept
+    loose = docs.filter("doc_id is null")
+    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([fingerprint((t or "").encode(), shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "_fp"])
+
+    marked = loose.mapInArrow(run, schema)
+    return kept.unionByName(marked.join(free.select(F.col("fp").alias("_fp")), "_fp", "left_semi").drop("_fp"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return simhash_near_duplicates(docs)

@@ -403,7 +403,8 @@ def _apply(method: Method, plan: Plan):
                 who, s = who[order], s[order]
                 cut = np.append(np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])), len(who))
                 starts = {int(who[i]): s[i:j] for i, j in zip(cut[:-1], cut[1:])}
-        return method.finish(docs, starts, plan)
+        out = method.finish(docs, starts, plan)
+        return out.append_column("carry", docs["carry"]) if "carry" in docs.column_names else out
 
     return fn
 
@@ -415,17 +416,23 @@ def covered(starts: np.ndarray, win: int) -> np.ndarray:
     return np.stack([s[new], s[np.append(new[1:], len(s)) - 1] + win], axis=1)
 
 
-def repeated_windows(docs: DataFrame, method: Method, win: int, k: int, *, batch_bytes: int = 8 << 20, bucket_bytes: int = 4 << 20, hot: int = 256) -> DataFrame:
-    """Runs the exchange; ``docs`` has ``doc_id`` (long) and ``text`` (string)."""
+def repeated_windows(docs: DataFrame, method: Method, win: int, k: int, *, batch_bytes: int = 8 << 20, bucket_bytes: int = 4 << 20, hot: int = 256, carry: bool = False) -> DataFrame:
+    """Runs the exchange; ``docs`` has ``doc_id`` (long) and ``text`` (string).
+
+    With ``carry`` each row's other columns come along as the struct ``carry``.
+    """
     spark = docs.sparkSession
     size = volume(docs)
     n = max(n_partitions(spark), size // batch_bytes + 1)
     plan = Plan(win, k, max(n_partitions(spark), size // bucket_bytes + 1), hot)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("carry")] if others else []
+    schema = method.schema + (f", carry {docs.select(*rest).schema[0].dataType.simpleString()}" if others else "")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest).withColumn(
         "batch", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n))
     ).repartition("batch")
     anchors = dealt.groupBy("batch").applyInArrow(_anchors(method, plan), DDL["anchors"])
     shared = anchors.groupBy("bucket").applyInArrow(_shared(plan), DDL["answers"])
     records = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_records(method, plan), DDL["records"])
     answers = records.groupBy("bucket").applyInArrow(_answers(method, plan), DDL["answers"])
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_apply(method, plan), method.schema)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_apply(method, plan), schema)
