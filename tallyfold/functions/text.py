@@ -1,0 +1,133 @@
+"""Name, identifier and contact functions as native Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Legal-form suffixes that name matching ignores.
+SUFFIXES = ("INC", "INCORPORATED", "LLC", "LTD", "CORP", "CORPORATION", "CO", "COMPANY", "FOUNDATION", "FUND", "TRUST", "PA")
+#: Words that mark a name as an entity rather than a person.
+ENTITY_WORDS = ("LLC", "LP", "LLP", "INC", "CORP", "LTD", "FUND", "PARTNERS", "CAPITAL", "MANAGEMENT", "HOLDINGS", "ADVISORS", "ADVISERS", "COMPANY", "TRUST")
+#: Openings of filler text that stands for a recipient.
+PLACEHOLDERS = (
+    "SEE (ATTACH|STATEMENT|STMT|STMNT|SCHEDULE|LIST|SUPPLEMENT|ADDITIONAL (DATA|INFO|SCHEDULE|STATEMENT|LIST|PAGE))",
+    "(AS )?PER (ATTACH|SCHEDULE|LIST|STATEMENT|STMT)", "VARIOUS", "MISC(ELLANEOUS)?( |$)", "N A$|NA$|NONE$|OTHER$|GENERAL$",
+    "ALL OTHERS?$|UNKNOWN$|NOT APPLICABLE$|CASH GRANTS?$", "SCHEDULE( |$)", "ATTACH(ED|MENT)?$", "ATTACHED (LIST|SCH|STATEMENT|SUPPLEMENT)",
+    r"ATTACHMENT ([A-Z]|\d+)( |$)", r"STATEMENT( \d|$)", "ANONYMOUS( DONOR)?$", "INDIVIDUALS?$", "SCHOLARSHIPS?$", "SUNDRY",
+    "MULTIPLE (RECIPIENT|GRANT|CHARIT|ORGANIZATION)", "AVAILABLE (UPON|ON) REQUEST", r"UNDER (\d{3,}|\d+ ?K|\d{1,3} \d{3})( |$)",
+    r"(GRANTS|GIFTS|DONATIONS|CONTRIBUTIONS|AMOUNTS) (OF )?(UNDER|LESS THAN|BELOW) (\d{3,}|\d+ ?K|\d{1,3} \d{3})( |$)",
+)
+
+
+def norm_name(x: Column) -> Column:
+    """Upper case, punctuation to space, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(x), r"(?U)[^\w\s&-]", " "), r"(?U)\s+", " "))
+
+
+def squeeze(clean: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_replace(clean, "[^A-Z0-9]+", ""), F.lit("")), clean)
+
+
+def strip_suffix(name: Column) -> Column:
+    return F.trim(F.regexp_replace(name, rf"\s+({'|'.join(SUFFIXES)})$", ""))
+
+
+def clean_name(name: Column) -> Column:
+    """A leading THE and a closing legal form go."""
+    return strip_suffix(F.regexp_replace(norm_name(name), r"^THE\s+", ""))
+
+
+def is_placeholder(norm: Column) -> Column:
+    return norm.isNull() | (F.length(norm) < 4) | norm.rlike("^(" + "|".join(PLACEHOLDERS) + ")")
+
+
+def is_entity(norm: Column) -> Column:
+    return norm.rlike(rf"\b({'|'.join(ENTITY_WORDS)})\b")
+
+
+def person_key(name: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(norm_name(name), " "), lambda t: t != "")), " ")
+
+
+def digits(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
+
+
+def ein(x: Column) -> Column:
+    d = digits(x)
+    return F.when((F.length(d) > 0) & (F.length(d) <= 9), F.lpad(d, 9, "0"))
+
+
+def cik(x: Column) -> Column:
+    return F.nullif(F.regexp_replace(digits(x), "^0+", ""), F.lit(""))
+
+
+def crd(x: Column) -> Column:
+    return F.nullif(digits(x), F.lit(""))
+
+
+def amount(x: Column) -> Column:
+    """Whole units, truncated toward zero; null for what is no number."""
+    s = F.translate(F.trim(x), ",$", "")
+    return F.when(~s.isin("", "-"), s.try_cast("double")).cast("long")
+
+
+def zip_code(x: Column) -> Column:
+    d = digits(x)
+    return F.when(F.length(d) == 5, d).when(F.length(d) == 9, F.concat(F.left(d, F.lit(5)), F.lit("-"), F.right(d, F.lit(4))))
+
+
+def phone(x: Column) -> Column:
+    d = digits(x)
+    return F.when(d.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), F.concat(F.lit("+1"), d))
+
+
+def email_local(x: Column) -> Column:
+    """The local part of a valid address without its tag and separators."""
+    a = F.lower(F.trim(x))
+    local = F.regexp_replace(F.regexp_replace(F.split_part(a, F.lit("@"), F.lit(1)), r"\+.*$", ""), "[._-]", "")
+    return F.when(a.rlike(r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$"), local)
+
+
+def canonical_url(x: Column) -> Column:
+    """Host in lower case, no fragment, no tracking parameters, no closing slash."""
+    bare = F.split_part(F.trim(x), F.lit("#"), F.lit(1))
+    head, query = F.split_part(bare, F.lit("?"), F.lit(1)), F.split_part(bare, F.lit("?"), F.lit(2))
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike("^(utm_[a-z]+|gclid|fbclid)=") & (p != "")), "&")
+    host = F.regexp_extract(head, r"^([A-Za-z]+://[^/]*)", 1)
+    path = F.regexp_replace(F.substr(head, F.length(host) + 1), "/+$", "")
+    return F.concat(F.lower(host), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
+
+
+def trigrams(x: Column) -> Column:
+    """Distinct trigrams of each word, padded by two spaces before and one after."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))
+    return F.array_distinct(F.flatten(grams))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Shared over all of two trigram sets."""
+    common, every = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.when(every > 0, common / every).otherwise(F.lit(0.0))
+
+
+def restrictive_phrase(x: Column) -> Column:
+    found = F.regexp_extract(x, r"(?i)\b(no\s+unsolicited|not\s+accept(?:ing)?\s+(?:unsolicited|applications|requests|proposals)|does\s+not\s+solicit|by\s+invitation|no\s+applications|pre[- ]?selected)", 1)
+    return F.nullif(F.lower(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
+
+
+def csv_cell(x: Column) -> Column:
+    """Quoted as CSV asks; what a spreadsheet would run as a formula gets a quote in front."""
+    safe = F.when(x.rlike("^[=+\\-@\\t\\r]"), F.concat(F.lit("'"), x)).otherwise(x)
+    return F.when(safe.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+
+
+def money_mention(x: Column) -> Column:
+    """First dollar amount of a text, with its multiplier, as a double."""
+    number = F.regexp_replace(F.regexp_extract(x, r"(?i)\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "").try_cast("double")
+    unit = F.lower(F.regexp_extract(x, r"(?i)\$\s?[0-9][0-9,.]*\s?(thousand|million|billion|k|m|b)\b", 1))
+    times = F.when(unit.isin("thousand", "k"), 1e3).when(unit.isin("million", "m"), 1e6).when(unit.isin("billion", "b"), 1e9).otherwise(1.0)
+    return number * times
