@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import marts, relational  # noqa: F401  they register their queries
+from . import marts, relational, resolution, scalars  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 
