@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
@@ -27,12 +29,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int =
     return sorted((r.text.encode(), r.y) for r in got)
 
 
+#: Seeds of the minhashes that tell copies in a sample.
+_COPY_HASHES = np.random.default_rng(3).integers(1, 1 << 31, (6, 2), dtype=np.uint64)
+
+
+def one_of_each_copy(sample: list[tuple[bytes, int]], words_of) -> list[tuple[bytes, int]]:
+    """The sample with one text of each group of copies, so that a text that was copied often is no stronger evidence.
+
+    A text goes if it shares one of six minhashes of word triples with an earlier one.
+    """
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for text, y in sample:
+        w = words_of(text)
+        h = np.array([zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], dtype=np.uint64)
+        keys = {(k, int(((h * (2 * a + 1) + b) & np.uint64(0xFFFFFFFF)).min())) for k, (a, b) in enumerate(_COPY_HASHES)}
+        if seen.isdisjoint(keys):
+            out.append((text, y))
+        seen |= keys
+    return out
+
+
 class Coder:
-    """Length of a frame under a fixed dictionary, without checksum, size and dictionary number."""
+    """Length of a frame under a fixed dictionary, without checksum, size and dictionary number.
+
+    ``thorough`` searches the dictionary with binary trees for matches from three
+    bytes on; the quick matchers overlook short words in it.
+    """
 
-    def __init__(self, dictionary: bytes, level: int = 3, raw: bool = False):
+    def __init__(self, dictionary: bytes, level: int = 3, raw: bool = False, thorough: bool = False):
         kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_AUTO
         data = zstandard.ZstdCompressionDict(dictionary, dict_type=kind) if dictionary else None
+        if thorough:
+            params = zstandard.ZstdCompressionParameters.from_level(
+                level, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=3, target_length=64,
+                strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False,
+            )
+            if data is not None:
+                data.precompute_compress(compression_params=params)
+            self.compress = zstandard.ZstdCompressor(dict_data=data, compression_params=params).compress
+            return
         if data is not None:
             data.precompute_compress(level=level)
         self.compress = zstandard.ZstdCompressor(level=level, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False).compress

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
-from .compression import SAMPLE_ROWS, Coder, fit_logistic, labelled_sample, logistic
+from .compression import SAMPLE_ROWS, Coder, fit_logistic, labelled_sample, logistic, one_of_each_copy
 
 WINDOW = 64
 GRAM = 6
@@ -82,7 +82,7 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.saved = model, {}
-        self.coders = (Coder(model.ordinary, LEVEL, raw=True), Coder(model.toxic, LEVEL, raw=True)) if model.toxic else None
+        self.coders = tuple(Coder(d, LEVEL, raw=True, thorough=True) for d in (model.ordinary, model.toxic)) if model.toxic else None
         self.known = min(self.coders[1](model.toxic[i : i + WINDOW]) for i in range(0, len(model.toxic), WINDOW + 1)) + SLACK if model.toxic else 0
 
     def saving(self, word: bytes) -> int:
@@ -138,6 +138,7 @@ def _dictionary(words: list[bytes]) -> bytes:
 
 def fit(sample: list[tuple[bytes, int]]) -> Model:
     """Without rows of both labels the model gives each text the share of toxic rows."""
+    sample = one_of_each_copy(sample, words_of)
     texts = [Counter(words_of(t)) for t, _ in sample]
     y = np.array([v for _, v in sample], dtype=np.float64)
     n, m = int(y.sum()), int((1 - y).sum())
