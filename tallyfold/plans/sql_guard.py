@@ -71,7 +71,7 @@ class Guard:
         name = e.getClass().getSimpleName()
         if name == "UnresolvedFunction":
             fun.add(str(e.nameParts().last()).lower())
-        if hasattr(e, "plan") and re.search("Subquery|Exists", name):
+        if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
             self._walk(e.plan(), rel, fun, ctes, nodes)
         kids = e.children()
         for i in range(kids.size()):

@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return found.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time with a zone: the session's
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
