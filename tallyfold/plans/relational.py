@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import relational as R
 from ..sources.tables import GRANTS_SQL as G
 from ..sources.tables import grants, table
-from .registry import query
+from .registry import ORACLES, query
 
 
 def _d(c):
@@ -172,6 +172,12 @@ def agg_share_guarded(spark, d):
     return grants(spark, d).groupBy("funder_id").agg(F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("flag") == "R"), F.count_if(F.col("fy") == 1992).cast("double")), 6).alias("pct"))
 
 
+@query(ORACLES["agg_share_guarded"].replace("fy = 1992", "fy = 1998"))
+def agg_share_guarded_1998(spark, d):
+    """AGG-15 with a year that the orders have."""
+    return grants(spark, d).groupBy("funder_id").agg(F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("flag") == "R"), F.count_if(F.col("fy") == 1998).cast("double")), 6).alias("pct"))
+
+
 @query(G + "SELECT recipient_id, CASE WHEN count(DISTINCT flag) = 1 THEN min(flag) END AS only_flag FROM grants GROUP BY 1")
 def agg_single_or_null(spark, d):
     """AGG-20."""
@@ -267,3 +273,10 @@ def flt_relative_window(spark, d):
     """FLT-14: windows count from a given day, never from the clock."""
     day = F.col("ts").cast("date")
     return table(spark, d, "events").filter((day > F.date_sub(F.lit("2024-03-01").cast("date"), 30)) & (day <= F.lit("2024-03-01").cast("date"))).select("event_id")
+
+
+@query(ORACLES["flt_relative_window"].replace("2024-03-01", "2024-01-20"))
+def flt_relative_window_january(spark, d):
+    """FLT-14 with a day that the events have."""
+    day = F.col("ts").cast("date")
+    return table(spark, d, "events").filter((day > F.date_sub(F.lit("2024-01-20").cast("date"), 30)) & (day <= F.lit("2024-01-20").cast("date"))).select("event_id")

@@ -10,7 +10,7 @@ from ..operators import relational as R
 from ..operators.similarity import jaro_winkler, set_similarity_join
 from ..sources.tables import GRANTS_SQL as G
 from ..sources.tables import grants, table
-from .registry import query
+from .registry import ORACLES, query
 
 # Organisations: parts by name and brand ("state"); recipients: the same names, noisier, from every third part.
 _ER = """WITH org AS (SELECT p_partkey AS org_id, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) AS nn, left(p_brand, 7) AS state FROM part),
@@ -40,14 +40,9 @@ def er_tiers(spark, d):
     return m.select("rid", F.coalesce("u_org", ok).alias("org_id"), F.when(F.col("u_org").isNotNull(), 1).otherwise(2).alias("tier")).filter("org_id is not null")
 
 
-@query(G + """, w AS (SELECT c_mktsegment AS name, n_name AS state, funder_id % 10 AS org, recipient_id, funder_id FROM grants JOIN customer ON recipient_id = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE fy < 1994),
-o AS (SELECT name, state, org, count(DISTINCT funder_id) AS filers, count(*) AS rows_n FROM w GROUP BY 1, 2, 3), k AS (SELECT name, state, count(DISTINCT funder_id) AS all_filers, count(DISTINCT org) AS orgs FROM w GROUP BY 1, 2),
-t AS (SELECT DISTINCT ON (name, state) * FROM o ORDER BY name, state, filers DESC, rows_n DESC, org)
-SELECT t.name, t.state, t.org, filers, all_filers, CASE WHEN orgs = 1 THEN 'unanimous' WHEN filers * 10 >= all_filers * 9 THEN 'dominant' ELSE 'contested' END AS status FROM t JOIN k ON t.name = k.name AND t.state = k.state""")
-def er_alias_consensus(spark, d):
-    """ER-05, ALS-01..08, SRT-09: the organisation that most filers name, with an integer test of dominance."""
+def _consensus(spark, d, g):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    w = grants(spark, d).filter("fy < 1994").join(c, F.col("recipient_id") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    w = g.join(c, F.col("recipient_id") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     w = w.select(F.col("c_mktsegment").alias("name"), F.col("n_name").alias("state"), (F.col("funder_id") % 10).alias("org"), "funder_id")
     o = w.groupBy("name", "state", "org").agg(F.count_distinct("funder_id").alias("filers"), F.count("*").alias("rows_n"))
     k = w.groupBy("name", "state").agg(F.count_distinct("funder_id").alias("all_filers"), F.count_distinct("org").alias("orgs"))
@@ -56,6 +51,21 @@ def er_alias_consensus(spark, d):
     return t.join(k, ["name", "state"]).select("name", "state", "org", "filers", "all_filers", s.alias("status"))
 
 
+@query(G + """, w AS (SELECT c_mktsegment AS name, n_name AS state, funder_id % 10 AS org, recipient_id, funder_id FROM grants JOIN customer ON recipient_id = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE fy < 1994),
+o AS (SELECT name, state, org, count(DISTINCT funder_id) AS filers, count(*) AS rows_n FROM w GROUP BY 1, 2, 3), k AS (SELECT name, state, count(DISTINCT funder_id) AS all_filers, count(DISTINCT org) AS orgs FROM w GROUP BY 1, 2),
+t AS (SELECT DISTINCT ON (name, state) * FROM o ORDER BY name, state, filers DESC, rows_n DESC, org)
+SELECT t.name, t.state, t.org, filers, all_filers, CASE WHEN orgs = 1 THEN 'unanimous' WHEN filers * 10 >= all_filers * 9 THEN 'dominant' ELSE 'contested' END AS status FROM t JOIN k ON t.name = k.name AND t.state = k.state""")
+def er_alias_consensus(spark, d):
+    """ER-05, ALS-01..08, SRT-09: the organisation that most filers name, with an integer test of dominance."""
+    return _consensus(spark, d, grants(spark, d).filter("fy < 1994"))
+
+
+@query(ORACLES["er_alias_consensus"].replace(" WHERE fy < 1994", ""))
+def er_alias_consensus_all(spark, d):
+    """ER-05, ALS-01..08, SRT-09 over the grants of every year; no order is as early as the years of er_alias_consensus."""
+    return _consensus(spark, d, grants(spark, d))
+
+
 @query("""WITH n AS (SELECT s_suppkey AS k, n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 20 = 0), m AS (SELECT DISTINCT n_name AS other FROM nation)
 SELECT k, other, round(jaro_winkler_similarity(name, other), 6) AS jw FROM n JOIN m ON left(name, 1) = left(other, 1)""")
 def sim_jaro_winkler(spark, d):

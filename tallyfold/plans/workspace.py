@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from ..operators import relational as R
 from ..sources.tables import GRANTS_SQL as G
 from ..sources.tables import grants, table
-from .registry import query
+from .registry import ORACLES, query
 
 AS_OF = "2024-03-01"
 
 
-@query("""SELECT event_type, count(*) AS n_all, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-03-01' - 30) AS n_30, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-03-01' - 60 AND CAST(ts AS DATE) <= DATE '2024-03-01' - 30) AS n_prev, round(sum(CAST(value AS DECIMAL(18,4)))::DOUBLE, 4) AS total FROM events GROUP BY 1""")
-def ws_momentum(spark, d):
-    """WS-10, WS-13, WS-14: counts of windows from a given day, in one pass."""
-    day, at = F.col("ts").cast("date"), F.lit(AS_OF).cast("date")
+def _momentum(spark, d, as_of):
+    day, at = F.col("ts").cast("date"), F.lit(as_of).cast("date")
     return table(spark, d, "events").groupBy("event_type").agg(
         F.count("*").alias("n_all"), F.count_if(day > F.date_sub(at, 30)).alias("n_30"), F.count_if((day > F.date_sub(at, 60)) & (day <= F.date_sub(at, 30))).alias("n_prev"), F.round(F.sum(F.col("value").cast("decimal(18,4)")).cast("double"), 4).alias("total")
     )
 
 
+@query("""SELECT event_type, count(*) AS n_all, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-03-01' - 30) AS n_30, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-03-01' - 60 AND CAST(ts AS DATE) <= DATE '2024-03-01' - 30) AS n_prev, round(sum(CAST(value AS DECIMAL(18,4)))::DOUBLE, 4) AS total FROM events GROUP BY 1""")
+def ws_momentum(spark, d):
+    """WS-10, WS-13, WS-14: counts of windows from a given day, in one pass."""
+    return _momentum(spark, d, AS_OF)
+
+
+@query(ORACLES["ws_momentum"].replace(AS_OF, "2024-02-14"))
+def ws_momentum_recent(spark, d):
+    """WS-10, WS-13, WS-14 from a day by which the month of events falls into both windows."""
+    return _momentum(spark, d, "2024-02-14")
+
+
 @query("""WITH g AS (SELECT event_type, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT event_type, count(gap) AS moves, round(quantile_cont(gap, 0.5), 3) AS median_gap FROM g GROUP BY 1""")
 def ws_stage_velocity(spark, d):
     """WS-11: median seconds between moves."""
