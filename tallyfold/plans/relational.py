@@ -97,6 +97,15 @@ def jn_token_index(spark, d):
     return a.join(b, "tok").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")
 
 
+@query("""WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b, count(*) AS shared FROM t a JOIN t b ON a.tok = b.tok AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= 2""")
+def jn_token_index_all(spark, d):
+    """JN-14, JN-23: the parts whose key 20 divides ask, and the index holds every part."""
+    t = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("tok"))
+    a, b = t.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), "tok"), t.select(F.col("p_partkey").alias("b"), "tok")
+    return a.join(b, "tok").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")
+
+
 @query(G + "SELECT DISTINCT least(funder_id, recipient_id) AS a, greatest(funder_id, recipient_id) AS b FROM grants WHERE fy = 1995")
 def jn_pair_keys(spark, d):
     """JN-22."""

@@ -21,3 +21,10 @@ def test_ranges_hold_rows(spark):
     assert all(r.n_30 and r.n_prev and r.n_30 + r.n_prev == r.n_all for r in got(spark, "ws_momentum_recent"))
     shares = got(spark, "agg_share_guarded_1998")
     assert shares and all(r.pct is not None for r in shares)
+
+
+def test_token_index_meets_every_part(spark):
+    words = {r.p_partkey: set(r.p_name.lower().split(" ")) for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    want = {(a, b): len(words[a] & words[b]) for a in words if a % 20 == 0 for b in words if a != b and len(words[a] & words[b]) >= 2}
+    assert {(r.a, r.b): r.shared for r in got(spark, "jn_token_index_all")} == want
+    assert any(b % 20 for _, b in want)
