@@ -122,3 +122,12 @@ def er_components(spark, d):
 
     e = table(spark, d, "orders").filter("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("u"), (F.floor(F.col("o_custkey") / 7) * 7).cast("long").alias("v")).distinct()
     return components(e)
+
+
+@query(ORACLES["er_components"].replace(" WHERE o_custkey % 3 <> 0", ""))
+def er_components_all(spark, d):
+    """ER-13 over the edges of every order."""
+    from ..operators.graph import components
+
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("u"), (F.floor(F.col("o_custkey") / 7) * 7).cast("long").alias("v")).distinct()
+    return components(e)

@@ -28,3 +28,18 @@ def test_token_index_meets_every_part(spark):
     want = {(a, b): len(words[a] & words[b]) for a in words if a % 20 == 0 for b in words if a != b and len(words[a] & words[b]) >= 2}
     assert {(r.a, r.b): r.shared for r in got(spark, "jn_token_index_all")} == want
     assert any(b % 20 for _, b in want)
+
+
+def test_components_of_every_order(spark):
+    keys = {r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").collect()}
+    root = {n: n for k in keys for n in (k, k // 7 * 7)}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for k in keys:
+        a, b = sorted((find(k), find(k // 7 * 7)))
+        root[b] = a
+    assert {(r.node, r.root) for r in got(spark, "er_components_all")} == {(n, find(n)) for n in root}
