@@ -34,6 +34,36 @@ def set_similarity_join(left: DataFrame, right: DataFrame, key: str, tokens: str
     return met.filter(common * q >= union * p).select(*by, key, F.col("_rk").alias(f"{key}_right"), (common / union).alias("similarity"))
 
 
+def similar_classes(df: DataFrame, key: str, tokens: str, by: list[str], share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """All links of a table with itself: ``kind`` 'pair' between representatives and 'member' from a representative to each other row of its class.
+
+    A class holds the rows of equal token sets within equal ``by`` columns, and its smallest key
+    stands for it, so equal rows never make pairs among each other.  Rows without tokens have no links.
+    Exact: two sets above the threshold share a token of both prefixes in one order of rarity.
+    Candidates meet as keys only; the sets are joined to distinct candidates.
+    """
+    p, q = share
+    rows = df.filter(F.size(tokens) > 0).select(*by, key, F.array_sort(tokens).alias("_s"))
+    classes = rows.groupBy(*by, "_s").agg(F.min(key).alias("_rep"), F.collect_list(key).alias("_keys"))
+    members = classes.select(*by, F.col("_rep").alias(key), F.explode("_keys").alias(f"{key}_right")).filter(F.col(key) != F.col(f"{key}_right"))
+    sets = classes.select(*by, F.col("_rep").alias(key), "_s", F.size("_s").alias("n"))
+    each = sets.select(*by, key, "n", F.explode("_s").alias("_t"))
+    rare = each.groupBy(*by, "_t").agg(F.count("*").alias("_df"))
+    rank = F.row_number().over(Window.partitionBy(*by, key).orderBy("_df", "_t"))
+    first = each.join(rare, [*by, "_t"]).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1)
+    a = first.select(*by, "_t", key, "n")
+    b = first.select(*by, "_t", F.col(key).alias("_rk"), F.col("n").alias("_rn"))
+    fits = (F.col("n") * q >= F.col("_rn") * p) & (F.col("_rn") * q >= F.col("n") * p)
+    met = a.join(b, [*by, "_t"]).filter((F.col(key) < F.col("_rk")) & fits).select(*by, key, "_rk").distinct()
+    left = sets.select(*by, key, "_s")
+    right = sets.select(*by, F.col(key).alias("_rk"), F.col("_s").alias("_rs"))
+    common = F.size(F.array_intersect("_s", "_rs"))
+    union = F.size("_s") + F.size("_rs") - common
+    both = met.join(left, [*by, key]).join(right, [*by, "_rk"]).filter(common * q >= union * p)
+    pairs = both.select(*by, key, F.col("_rk").alias(f"{key}_right"), F.lit("pair").alias("kind"), (common / union).alias("similarity"))
+    return pairs.unionByName(members.withColumns({"kind": F.lit("member"), "similarity": F.lit(1.0)}))
+
+
 def _jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0 if a else 0.0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relational as R
-from ..operators.similarity import jaro_winkler, set_similarity_join
+from ..operators.similarity import jaro_winkler, set_similarity_join, similar_classes
 from ..sources.tables import GRANTS_SQL as G
 from ..sources.tables import grants, table
 from .registry import ORACLES, query
@@ -76,6 +76,16 @@ def sim_jaro_winkler(spark, d):
     return s.join(m, F.left("name", F.lit(1)) == F.left("other", F.lit(1))).select("k", "other", F.round(jaro_winkler(F.col("name"), F.col("other")), 6).alias("jw"))
 
 
+@query(ORACLES["sim_jaro_winkler"].replace(" WHERE s_suppkey % 20 = 0", ""))
+def sim_jaro_winkler_all(spark, d):
+    """STR-21, JN-16 for every supplier; a name is compared once for each nation, not once for each supplier."""
+    n = table(spark, d, "nation")
+    m = n.select(F.col("n_name").alias("other"))
+    pairs = n.select("n_nationkey", F.col("n_name").alias("name")).join(m, F.left("name", F.lit(1)) == F.left("other", F.lit(1)))
+    jw = pairs.select("n_nationkey", "other", F.round(jaro_winkler(F.col("name"), F.col("other")), 6).alias("jw"))
+    return table(spark, d, "supplier").join(jw, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), "other", "jw")
+
+
 _TRI = """tri AS (SELECT p_partkey AS k, p_brand AS brand, list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''),
 lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM part)"""
 
@@ -87,6 +97,15 @@ def sim_prefix_join(spark, d):
     return set_similarity_join(p.filter("k % 20 = 0"), p, "k", "g", ["brand"], (1, 2)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("WITH " + _TRI + """, c AS (SELECT brand, k, list_sort(g) AS g, min(k) OVER (PARTITION BY brand, list_sort(g)) AS rep FROM tri WHERE len(g) > 0), r AS (SELECT brand, k, g FROM c WHERE k = rep)
+SELECT a.brand, a.k, b.k AS k_right, 'pair' AS kind, round(len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE), 6) AS similarity FROM r a JOIN r b ON a.brand = b.brand AND a.k < b.k WHERE 2 * len(list_intersect(a.g, b.g)) >= len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))
+UNION ALL SELECT brand, rep, k, 'member', 1.0 FROM c WHERE k <> rep""")
+def sim_prefix_join_all(spark, d):
+    """DRV-02, STR-20, TRN-11..15, WIN-08: all links of a half or more among the parts of a brand, as pairs of class representatives and members."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("k"), T.trigrams(F.col("p_name")).alias("g"))
+    return similar_classes(p, "k", "g", ["brand"], (1, 2)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(G + """, u AS (SELECT funder_id, fy, recipient_id, sum(amount) AS amount, count(*) AS n FROM grants GROUP BY 1, 2, 3), y AS (SELECT DISTINCT funder_id, fy FROM grants),
 ok AS (SELECT a.funder_id, a.fy FROM y a WHERE (SELECT count(*) FROM y b WHERE b.funder_id = a.funder_id AND b.fy BETWEEN a.fy - 3 AND a.fy - 1) = 3)
 SELECT u.funder_id, u.fy, count(*) AS n_recipients, count(*) FILTER (p.r IS NULL) AS n_new, CAST(sum(u.amount) AS DOUBLE) AS amount, CAST(coalesce(sum(u.amount) FILTER (p.r IS NULL), 0) AS DOUBLE) AS amount_new

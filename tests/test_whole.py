@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyfold.operators.similarity import similar_classes
 from tallyfold.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,24 @@ def test_components_of_every_order(spark):
         a, b = sorted((find(k), find(k // 7 * 7)))
         root[b] = a
     assert {(r.node, r.root) for r in got(spark, "er_components_all")} == {(n, find(n)) for n in root}
+
+
+def test_similarity_join_loses_no_link(spark):
+    sets = {1: "abcd", 2: "dcba", 3: "abce", 4: "abcdefgh", 5: "xyz", 7: "wxyz", 8: "", 9: None, 21: "abcd", 22: "abq"}
+    df = spark.createDataFrame([("b", k, None if v is None else list(v)) for k, v in sets.items()] + [("c", 30, list("abcd"))], "brand string, k long, g array<string>")
+    links = {(r.kind, r.k, r.k_right): r.similarity for r in similar_classes(df, "k", "g", ["brand"], (1, 2)).collect()}
+    classes = {}
+    for k in sorted(sets):
+        if sets[k]:
+            classes.setdefault(frozenset(sets[k]), []).append(k)
+    want = {("member", c[0], k): 1.0 for c in classes.values() for k in c[1:]}
+    for a, x in classes.items():
+        for b, y in classes.items():
+            if x[0] < y[0] and 2 * len(a & b) >= len(a | b):
+                want["pair", x[0], y[0]] = len(a & b) / len(a | b)
+    assert links == want and ("member", 1, 21) in links
+
+
+def test_similarity_queries_take_every_row(spark):
+    assert any(r.k % 20 and r.k_right % 20 for r in got(spark, "sim_prefix_join_all"))
+    assert {r.k for r in got(spark, "sim_jaro_winkler_all")} == {r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
