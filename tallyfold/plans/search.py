@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cosine
 from ..operators import search as S
 from ..sources.tables import table
-from .registry import query
+from .registry import ORACLES, query
 
 _TOK = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
 _HAS = "contains(' ' || array_to_string(ts, ' ') || ' ', ' {} ')"
@@ -42,6 +42,13 @@ def fts_index_stats(spark, d):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
 
 
+@query(ORACLES["fts_index_stats"].replace(" HAVING count(DISTINCT doc_id) >= 5", ""))
+def fts_index_stats_all(spark, d):
+    """FTS-01, TRN-12 with every term, however rare."""
+    p = table(spark, d, "documents").select("doc_id", F.explode(S.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 @query(f"""SELECT v.vec_id, round({_COS}, 6) AS sim FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE v.label <> 0 ORDER BY round(1 - {_COS}, 12), v.vec_id LIMIT 20""")
 def vec_topk(spark, d):
     """VEC-01, HYB-02: the filter applies below the top-K."""

@@ -65,3 +65,9 @@ def test_similarity_join_loses_no_link(spark):
 def test_similarity_queries_take_every_row(spark):
     assert any(r.k % 20 and r.k_right % 20 for r in got(spark, "sim_prefix_join_all"))
     assert {r.k for r in got(spark, "sim_jaro_winkler_all")} == {r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+
+
+def test_index_keeps_rare_terms(spark):
+    terms = {r.term: r.df for r in got(spark, "fts_index_stats_all")}
+    assert min(terms.values()) == 1
+    assert {t for t, n in terms.items() if n >= 5} == {r.term for r in got(spark, "fts_index_stats")}
