@@ -30,7 +30,7 @@ _V = "(?: version| v)? ?"
 @dataclass(frozen=True)
 class License:
     label: str
-    keyword: str  # a word that each of its patterns holds
+    keyword: str  # the beginning of a word that each of its patterns holds, in every alternative
     name: str  # pattern of its name, without a closing "license"
     tag: str  # its identifier's words
     address: str = ""  # pattern of the words of its address
@@ -53,7 +53,8 @@ LICENSES = (
     License("lgpl-3", "lesser", f"(?:gnu )?lesser general public license{_V}3(?: 0)?", "gnu lesser 3 0"),
     License("agpl-3", "agpl", f"(?:gnu )?agpl{_V}3(?: 0)?", "agpl 3 0(?: only| or later)?", "gnu org licenses agpl 3 0"),
     License("agpl-3", "affero", f"(?:gnu )?affero general public license(?:{_V}3(?: 0)?)?", "gnu affero 3 0"),
-    License("bsd-2", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
+    License("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
+    License("bsd-2", "freebsd", "freebsd", "bsd 2 clause freebsd"),
     License("bsd-3", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
     License("bsd-4", "bsd", "(?:original bsd|old bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd 4 clause"),
     License("0bsd", "0bsd", "(?:0bsd|zero clause bsd 0bsd)", "0bsd", "opensource org licenses 0bsd"),
@@ -216,7 +217,7 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     for mark in MARKS:
         gate = gate | F.contains(low, F.lit(mark))
     norm = F.concat(F.lit(" "), F.btrim(F.translate(F.regexp_replace(t, _GAP, " "), _UPPER, _LOWER), F.lit(" ")), F.lit(" "))
-    table = json.dumps([{**asdict(r), "keyword": f" {r.keyword} " if r.keyword else " "} for r in RULES])
+    table = json.dumps([{**asdict(r), "keyword": f" {r.keyword}"} for r in RULES])
     rules = F.from_json(F.lit(table), "array<struct<number:int,priority:int,label:string,keyword:string,pattern:string,weight:double>>")
     df = docs.withColumn("_low", F.lower(t)).withColumns({"n_words": F.regexp_count(t, F.lit(_WORD + "+")).cast("long"), "_norm": F.when(gate, norm)})
     n = F.col("_norm")
