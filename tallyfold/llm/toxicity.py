@@ -1,7 +1,7 @@
 """Toxicity by compression distance of windows.
 
 Method: two zstandard dictionaries, of toxic and of ordinary text.  A window is
-one word, tiled to a fixed length: that takes the fixed cost of a frame out of the
+one word, tiled to a fixed length (a longer word gives overlapping windows): that takes the fixed cost of a frame out of the
 comparison and leaves the bytes that a dictionary saves.  A word that toxic
 text has shared is one match under the toxic dictionary and literals under the
 ordinary one.  A text's saved bytes over all its windows, the largest saving of a
@@ -55,8 +55,38 @@ def tile(word: bytes) -> bytes:
     return (w * (WINDOW // len(w) + 1))[:WINDOW] if len(w) < WINDOW else w
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A word shorter than a window, or the overlapping windows of a longer one."""
+    if len(word) < WINDOW:
+        return [word]
+    last = len(word) - WINDOW
+    return [word[i : i + WINDOW] for i in sorted({*range(0, last, WINDOW // 2), last})]
+
+
+def units(text: bytes) -> list[bytes]:
+    words = words_of(text)
+    if not words or max(map(len, words)) < WINDOW:
+        return words
+    return [p for w in words for p in pieces(w)]
+
+
+def _marked(window: bytes, marks: set[bytes]) -> set[bytes]:
+    """The stretches of a window of a long word that the marks cover."""
+    out, start, end = set(), 0, 0
+    for i in range(len(window) - GRAM + 1):
+        if window[i : i + GRAM] in marks:
+            if i > end:
+                out.add(window[start:end])
+                start = i
+            elif end == 0:
+                start = i
+            end = i + GRAM
+    return (out | {window[start:end]}) - {b""}
+
+
 def _grams(word: bytes) -> set[bytes]:
-    w = b" " + word + b" "
+    """Substrings of a word with its ends; a short word is one of its own, and a window of a long word has no ends."""
+    w = word if len(word) >= WINDOW else (b" " + word + b" ").ljust(GRAM)
     return {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}
 
 
@@ -86,14 +116,18 @@ class Scorer:
         self.known = min(self.coders[1](model.toxic[i : i + WINDOW]) for i in range(0, len(model.toxic), WINDOW + 1)) + SLACK if model.toxic else 0
 
     def saving(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves on a window that it knows almost whole, against the ordinary one; else 0."""
+        """Bytes that the toxic dictionary saves on a window against the ordinary one; 0 for a word that it doesn't know almost whole.
+
+        A window of a long word is text around words, so any part that the dictionary knows counts.
+        """
         got = self.saved.get(word)
         if got is None:
             if len(self.saved) >= CACHE_WORDS:
                 self.saved.clear()
-            w = tile(word)
+            long = len(word) >= WINDOW
+            w = word if long else tile(word)
             toxic = self.coders[1](w)
-            got = self.saved[word] = self.coders[0](w) - toxic if toxic <= self.known else 0
+            got = self.saved[word] = self.coders[0](w) - toxic if long or toxic <= self.known else 0
         return got
 
     def features(self, text: bytes) -> tuple[float, float, float]:
@@ -101,7 +135,7 @@ class Scorer:
             return 0.0, 0.0, 0.0
         saved = self.saved.get
         total = hits = most = 0
-        words = words_of(text)
+        words = units(text)
         for w in words:
             s = saved(w)
             if s is None:
@@ -139,7 +173,7 @@ def _dictionary(words: list[bytes]) -> bytes:
 def fit(sample: list[tuple[bytes, int]]) -> Model:
     """Without rows of both labels the model gives each text the share of toxic rows."""
     sample = one_of_each_copy(sample, words_of)
-    texts = [Counter(words_of(t)) for t, _ in sample]
+    texts = [Counter(units(t)) for t, _ in sample]
     y = np.array([v for _, v in sample], dtype=np.float64)
     n, m = int(y.sum()), int((1 - y).sum())
     if not n or not m:
@@ -158,7 +192,8 @@ def fit(sample: list[tuple[bytes, int]]) -> Model:
     good: Counter = Counter()
     for c, v in zip(texts, y):
         if v:
-            bad.update(w for w in c if not marks.isdisjoint(_grams(w)))
+            bad.update(w for w in c if len(w) < WINDOW and not marks.isdisjoint(_grams(w)))
+            bad.update(set().union(*(_marked(w, marks) for w in c if len(w) >= WINDOW)))
         else:
             good.update(c.keys())
     top = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:DICTIONARY_WORDS]]
@@ -203,7 +238,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             for text in batch.column("text").to_pylist():
                 b = (text or "").encode()
                 scores.append(scorer.score(b))
-                hits.append(sum(scorer.saved.get(w, 0) >= scorer.model.threshold for w in set(words_of(b))) if scores[-1] >= threshold else 0)
+                hits.append(sum(any(scorer.saved.get(p, 0) >= scorer.model.threshold for p in pieces(w)) for w in set(words_of(b))) if scores[-1] >= threshold else 0)
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], names=["doc_id", "held_out", "score", "n_hit_words"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
