@@ -11,21 +11,27 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-#: Labelled rows that a classifier is fitted on, at most, and the longest text among them.
+#: Labelled rows that a classifier is fitted on, at most, and the characters of each.
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 64 << 10
+SAMPLE_CHARS = 32 << 10
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> list[tuple[bytes, int]]:
     """(UTF-8 text, label) of the ``rows`` labelled documents of the learning folds with the smallest hash of their id.
 
-    At most ``rows`` times ``most_bytes`` come to the driver, however large the tables.
+    A longer text teaches by a stretch of ``most_chars`` characters at a place
+    that its id's hash picks.  At most ``rows`` times ``most_chars`` characters
+    come to the driver, however large the tables: an id that stands twice in
+    ``labels`` with the same label, or twice in ``documents``, counts once (the
+    smallest of its texts).
     """
-    marked = labels.filter(F.col(column).isin(0, 1) & (fold() != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))
+    marked = labels.filter(F.col(column).isin(0, 1) & (fold() != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).distinct()
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.octet_length("text") <= most_bytes)
-    got = found.join(F.broadcast(some), "doc_id").select("text", "y").collect()
+    spare = F.greatest(F.length(text) - most_chars, F.lit(0))
+    stretch = F.substring(text, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), spare + 1).cast("int") + 1, F.lit(most_chars))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stretch.alias("text"))
+    got = found.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y").collect()
     return sorted((r.text.encode(), r.y) for r in got)
 
 
