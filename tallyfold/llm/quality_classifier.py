@@ -3,9 +3,7 @@
 Method: zstandard dictionaries are trained on good and on bad labelled text.  A
 text is cut into blocks, each block is compressed under both, and the sums'
 difference, over the text's length, says which kind of text it is closer to.  A
-logistic calibration turns that into a probability; next to the difference it
-sees the compression ratio, since text that repeats itself leaves both
-dictionaries little to do.
+logistic calibration turns that into a probability.
 """
 
 from __future__ import annotations
@@ -58,9 +56,8 @@ class Scorer:
     @staticmethod
     def features(n: int, good: int, bad: int) -> tuple[float, ...]:
         if not n:
-            return 0.0, 0.5, 0.25, 0.0
-        d, r = (bad - good) / n, min(good, bad) / n
-        return d, r, r * r, (bad - good) / max(1, min(good, bad))
+            return 0.0, 0.0
+        return (bad - good) / n, (bad - good) / max(1, min(good, bad))
 
     def score(self, text: bytes) -> float:
         if self.model.calibration is None:
@@ -106,9 +103,10 @@ def quality_score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     """``doc_id, held_out, score, predicted, n_bytes, good_bytes, bad_bytes`` for each row.
 
     ``docs``: ``doc_id`` (integer), ``text`` (string); other columns are ignored.
-    A score depends on the text alone.  Null and empty texts have no bytes and
-    the score of a text that both dictionaries fit alike.  A null id is no
-    learning row and has a null ``held_out``.
+    A score depends on the text alone, so repeated rows score alike.  Null and
+    empty texts have no bytes and the score of a text that both dictionaries fit
+    alike.  Long texts are compressed whole, block by block.  A null id is no
+    learning row and has a null ``held_out``; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES
 
