@@ -11,7 +11,11 @@ The shards' automata together grow with the corpus, so they have no proven size
 bound and are not broadcast to every executor: a passage is dealt to the one
 shard that can hold its matches, and the automaton is built where they meet.
 Shards hold at most ``SHARD_SYMBOLS`` symbols (one anchor's passages stay
-together), so an automaton fits in a task whatever the corpus size.
+together), so an automaton fits in a task whatever the corpus size: an anchor with
+more than ``HOT_RUNS`` different passages is dealt window by window instead.
+
+Words are compared by a 64-bit hash, passages by all their words' hashes, so two
+passages are taken for one only if they differ in words whose hashes collide.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from . import windows as W
 ANCHOR_WORDS = 16
 #: Symbols of one automaton, about 60 MB of it.
 SHARD_SYMBOLS = 1 << 17
+#: Different passages around one anchor above which they are dealt by window.
+HOT_RUNS = 1 << 11
 #: Before and after a passage's words in a record; no word hashes to it (hashes are odd).
 PAD = 0
 
@@ -106,12 +112,11 @@ def _mark(bodies, d0, d1, ids, anchors, plan: W.Plan) -> np.ndarray:
     width = plan.width - plan.k + 1  # the anchor's words are one symbol
     rows = np.concatenate([_unpack(n, b, width) for n, b in bodies])
     # equal records of several batches meet here; the automaton takes each once, with its smallest id
-    word = rows.astype(np.uint64) * W._powers(width)[0][:width]
-    key = W.mix(word.sum(axis=1, dtype=np.uint64) ^ anchors)
+    key = _classes(rows)
     uniq, first, least = W._first(key, ids)
-    mask = np.where(ids > least, (W.U(2) << d1.astype(np.uint64)) - (W.U(1) << d0.astype(np.uint64)), W.U(0))
+    mask = np.where((ids > least)[:, None], W.span_masks(d0, d1, plan.words), W.U(0))
     first = first[np.argsort(anchors[first], kind="stable")]
-    found = np.zeros(len(first), dtype=np.uint64)
+    found = np.zeros((len(first), plan.words), dtype=np.uint64)
     size = (d1 - d0)[first] + plan.win - plan.k + 1
     lo = 0
     while lo < len(first):
@@ -121,13 +126,23 @@ def _mark(bodies, d0, d1, ids, anchors, plan: W.Plan) -> np.ndarray:
             hi += 1
         found[lo:hi] = _shard(rows, first[lo:hi], d0, size[lo:hi], ids, plan)
         lo = hi
-    answer = np.zeros(len(uniq), dtype=np.uint64)
+    answer = np.zeros((len(uniq), plan.words), dtype=np.uint64)
     answer[np.searchsorted(uniq, key[first])] = found
     return mask | answer[np.searchsorted(uniq, key)]
 
 
+def _classes(rows: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows and for no others."""
+    key = W.mix((rows * W._powers(rows.shape[1])[0][: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order][1:] == key[order][:-1]) + 1
+    if (rows[order[again]] != rows[order[again - 1]]).any():  # different rows met in 64 bits
+        key = np.unique(np.ascontiguousarray(rows).view(f"V{rows.dtype.itemsize * rows.shape[1]}").ravel(), return_inverse=True)[1].astype(np.uint64)
+    return key
+
+
 def _shard(rows, pick, d0, size, ids, plan: W.Plan) -> np.ndarray:
-    out = np.zeros(len(pick), dtype=np.uint64)
+    out = np.zeros((len(pick), plan.words), dtype=np.uint64)
     strings = [rows[i, a : a + n].tolist() for i, a, n in zip(pick, d0[pick], size)]
     sam = SuffixAutomaton()
     for i, s in zip(pick, strings):
@@ -139,11 +154,11 @@ def _shard(rows, pick, d0, size, ids, plan: W.Plan) -> np.ndarray:
         for end, least in sam.stream(s, need):
             if least < mine:
                 bits |= 1 << (end + shift)
-        out[j] = bits
+        out[j] = [bits >> 64 * w & 0xFFFFFFFFFFFFFFFF for w in range(plan.words)]
     return out
 
 
-def _pack(r: W.Runs, pick, d0, d1, plan: W.Plan) -> bytes:
+def _pack(r: W.Batch, pick, d0, d1, plan: W.Plan) -> bytes:
     """Word hashes with the anchor as one symbol, as a dictionary of the slice and indices into it."""
     right = np.arange(plan.k, plan.k + plan.left)
     at = r.pos[pick][:, None] + np.concatenate([np.arange(-plan.left, 1), right])
@@ -220,7 +235,7 @@ def _finish(t: pa.Table, starts: dict[int, np.ndarray], plan: W.Plan) -> pa.Tabl
     return pa.table({"doc_id": t["doc_id"], "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
-_METHOD = W.Method(_tokens, lambda h: h, _pack, _mark, _finish, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string")
+_METHOD = W.Method(_tokens, lambda h: h, _pack, _mark, _finish, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string", anchored=True)
 
 
 def automaton_dedup(docs: DataFrame, min_words: int = 50, **sizes) -> DataFrame:
@@ -234,10 +249,11 @@ def automaton_dedup(docs: DataFrame, min_words: int = 50, **sizes) -> DataFrame:
 
     Null, empty and white texts have no words and an empty ``kept``.  Rows with
     the same id count as one document.  A row without an id loses what any
-    document with an id has and is never the reason for a removal.
+    document with an id has and is never the reason for a removal.  Texts of any
+    length are taken whole.  An empty table gives no rows.
     """
     k = min(ANCHOR_WORDS, max(1, min_words // 2))
-    return W.repeated_windows(docs, _METHOD, min_words, k, **sizes)
+    return W.repeated_windows(docs, _METHOD, min_words, k, **{"hot_runs": HOT_RUNS, **sizes})
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.llm import automaton_dedup, suffix_dedup
+from tallyfold.llm import windows as W
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,7 +68,7 @@ def test_table(spark):
     assert digest(automaton_dedup.automaton_dedup(df), "n_words") == as_words(rows)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"hot": 1, "batch_bytes": 1 << 16, "bucket_bytes": 1 << 16}])
+@pytest.mark.parametrize("sizes", [{}, {"hot": 1, "batch_bytes": 1 << 16, "bucket_bytes": 1 << 16}, {"hot_runs": 2, "batch_bytes": 1 << 16}])
 def test_odd_rows(odd, sizes):
     assert digest(suffix_dedup.suffix_dedup(odd, **sizes), "n_bytes") == as_bytes(odd_rows())
     assert digest(automaton_dedup.automaton_dedup(odd, **sizes), "n_words") == as_words(odd_rows())
@@ -77,6 +79,38 @@ def test_other_window(odd):
     assert digest(automaton_dedup.automaton_dedup(odd, 5), "n_words") == as_words(odd_rows(), 5)
 
 
+@pytest.mark.parametrize("win", [100, 150, 300])
+def test_wide_windows(odd, win):
+    assert digest(suffix_dedup.suffix_dedup(odd, win), "n_bytes") == as_bytes(odd_rows(), win)
+
+
+@pytest.mark.parametrize("win", [1, 80, 150])
+def test_wide_word_windows(odd, win):
+    assert digest(automaton_dedup.automaton_dedup(odd, win), "n_words") == as_words(odd_rows(), win)
+
+
+def test_collisions_are_told_apart(monkeypatch):
+    class Weak(W.RangeHash):
+        """Hashes of a few values, until the batch is hashed anew."""
+
+        made = 0
+
+        def __init__(self, symbols):
+            super().__init__(symbols)
+            Weak.made += 1
+            self.weak = Weak.made <= 2
+
+        def __call__(self, start, end):
+            h = super().__call__(start, end)
+            return h & W.U(7) if self.weak else h
+
+    monkeypatch.setattr(W, "RangeHash", Weak)
+    rnd = random.Random(2)
+    t = pa.table({"doc_id": [1, 2], "text": ["".join(rnd.choice("abcdefgh") for _ in range(400)) for _ in range(2)]})
+    b = W.batch_of(suffix_dedup._METHOD, t, W.Plan(50, 25, 4, 256), np.zeros(0, dtype=np.uint64))
+    assert Weak.made > 1 and len(set(b.key.tolist())) == len(b.key)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.query(none).collect() == [] and automaton_dedup.query(none).collect() == []
