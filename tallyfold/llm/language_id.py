@@ -18,16 +18,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
 
 DIMENSIONS = 1 << 12
-#: Documents of each language that are learned from (about), their longest text, and languages, at most.
+#: Documents that are learned from: of each language at most, and of all languages at most where there are many.
 ROWS_PER_LANGUAGE = 500
-SAMPLE_BYTES = 64 << 10
-MAX_LANGUAGES = 200
+SAMPLE_ROWS = 20_000
 EXHAUSTIVE = 7
 AMBIGUOUS = 0.6
 UNDETERMINED = "und"
@@ -91,12 +90,16 @@ class Model:
 
 
 def fit(texts: list[bytes], languages: list[str], steps: int = 80, ridge: float = 1e-4) -> Model:
+    return fit_features(np.stack([features(t) for t in texts]) if texts else np.zeros((0, DIMENSIONS), dtype=np.float32), languages, steps, ridge)
+
+
+def fit_features(x: np.ndarray, languages: list[str], steps: int = 80, ridge: float = 1e-4) -> Model:
     names = sorted(set(languages))
     model = Model(names, code_matrix(len(names)))
     if len(names) < 2:
         return model
-    x = np.stack([features(t) for t in texts])
-    at = np.array([names.index(v) for v in languages])
+    number = {n: i for i, n in enumerate(names)}
+    at = np.array([number[v] for v in languages])
     y = ((model.codes[at] + 1) / 2).astype(np.float32)
     share = np.bincount(at, minlength=len(names))
     row = (1 / share[at]) / len(names)  # languages count alike
@@ -120,22 +123,34 @@ def fit(texts: list[bytes], languages: list[str], steps: int = 80, ridge: float
     return model
 
 
-def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> Model:
-    """From about ``rows`` documents of each of the ``max_languages`` commonest languages, outside the held-out fold.
+def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, most_rows: int = SAMPLE_ROWS) -> Model:
+    """From at most ``rows`` documents of each language outside the held-out fold, every language among them.
 
-    Rows are taken by a hash of id and text, in proportion to how rare their
-    language is, so at most rows x languages x ``most_bytes`` come to the driver.
+    With so many languages that these would be more than ``most_rows``, each
+    gives fewer, one at least.  A language's documents are those with the smallest
+    hash of id and text.  Their texts, of any length, become vectors of
+    ``DIMENSIONS`` shares where they are read; only those come to the driver.
     """
     src = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    src = src.filter((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    counts = {r.lang: r.n for r in src.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    src = src.filter((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r.lang: r.n for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return Model()
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.element_at(F.create_map(*[v for lang, n in sorted(counts.items()) for v in (F.lit(lang), F.lit(rows / n))]), F.col("lang"))
-    got = src.filter(draw < wanted).select("doc_id", "text", "lang").limit(2 * rows * len(counts)).collect()
-    got.sort(key=lambda r: (r.lang, r.doc_id, r.text))
-    return fit([r.text.encode() for r in got], [r.lang for r in got])
+    each = max(1, min(rows, most_rows // len(counts)))
+    draw = F.xxhash64("doc_id", "lang", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    # hashes alone are ranked, per task first, and the chosen texts come back by their hash
+    chosen = src.select("lang", "doc_id", draw.alias("draw")).distinct().withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "draw")
+    picked = src.withColumn("draw", draw).join(F.broadcast(chosen), ["lang", "draw"], "left_semi").select("lang", "draw", "text")  # at most most_rows hashes
+
+    def run(batches):
+        for batch in batches:
+            vectors = [features(t.encode()).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("lang"), batch.column("draw"), pa.array(vectors, pa.binary())], names=["lang", "draw", "x"])
+
+    got = picked.mapInArrow(run, "lang string, draw long, x binary").dropDuplicates(["lang", "draw"]).collect()
+    got.sort(key=lambda r: (r.lang, r.draw))
+    return fit_features(np.stack([np.frombuffer(r.x, dtype=np.float32) for r in got]), [r.lang for r in got])
 
 
 def language_id(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> DataFrame:
@@ -145,7 +160,9 @@ def language_id(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) ->
     The prediction depends on the text alone.  Null texts and texts without a
     letter are ``und`` with score 0, as is every text when nothing could be
     learned.  ``ambiguous``: the score is below the given bound.  A null id has a
-    null ``held_out``.
+    null ``held_out``.  Texts are read whole, however long; equal texts have equal
+    predictions; of languages with the same loss the first by name is taken.  An
+    empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x bits numbers
 
