@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tallyfold-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -67,6 +72,17 @@ class Scratch:
             self._delete(self.base)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, or names like them that the table has no column of, for columns that are dropped again."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def settle(df: DataFrame, *names: str) -> DataFrame:
     """The same rows; later filters on ``names`` stay above their computation.
 

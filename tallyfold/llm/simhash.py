@@ -8,9 +8,10 @@ shard of every pair of blocks and meets all its partners there.  A shard's
 fingerprints form a BK-tree (children keyed by their Hamming distance to the
 parent), and a search follows only edges within the radius.  Trees of all shards
 together grow with the corpus, so they aren't broadcast: the tree is built where
-a shard's fingerprints meet.  A shard above ``SHARD_ROWS`` is dealt as tiles of
-a triangle, so a task holds two slices of it at most, however many near copies
-share its blocks.
+a shard's fingerprints meet.  A shard above ``REKEY_ROWS`` is dealt anew by a part
+of its other bits: cut into ``radius + 1`` parts, two partners agree in one of
+them.  What is still above ``SHARD_ROWS`` is dealt as tiles of a triangle, so a
+task holds two slices of it at most, however many near copies share its blocks.
 
 Links stay inside the shards: each tile passes on a spanning forest of its
 links (never all pairs of a group), and components of the whole come from
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, join_hot, n_partitions
+from .common import Scratch, join_hot, n_partitions, unused
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
 #: Fingerprints that one slice of a shard holds.
 SHARD_ROWS = 512
+#: Fingerprints of a shard above which a further part of the bits joins its key.
+REKEY_ROWS = 4096
 U = np.uint64
 
 
@@ -56,7 +59,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     h = _shingle_hashes(text, shingle)
     for lo in range(0, len(h), 1 << 16):
         part = h[lo : lo + (1 << 16)]
-        counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+        whole = len(part) // 255 * 255  # so many ones fit in a byte
+        counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
         n += len(part)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
 
@@ -165,16 +170,30 @@ def _blocks(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cut[:-1], cut[1:])]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, bucket_rows: int = 40_000) -> DataFrame:
+def _sized(dealt: DataFrame) -> DataFrame:
+    """The rows of shards with two fingerprints at least, and how many theirs has."""
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return dealt.join(sizes, "key")  # a fingerprint alone in its shard has no partner there
+
+
+def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, bucket_rows: int = 40_000, rekey_rows: int = REKEY_ROWS) -> DataFrame:
     """Spanning links ``a > b`` (as signed longs) between the distinct values of ``fp``."""
     parts = _blocks(radius + 2)
     mask = lambda i: ((1 << parts[i][1]) - 1) << parts[i][0]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     pairs = list(combinations(range(radius + 2), 2))
-    keys = [F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(signed(mask(i) | mask(j)))).alias("bits")) for k, (i, j) in enumerate(pairs)]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = dealt.join(sizes, "key")  # a fingerprint alone in its shard has no partner there
+    own_bits = [mask(i) | mask(j) for i, j in pairs]
+    keys = [F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for k, m in enumerate(own_bits)]
+    dealt = _sized(fps.select("fp", F.explode(F.array(*keys)).alias("key")))
+    finer = []
+    for m in own_bits:  # the other bits in radius + 1 parts, each joined to the shard's own
+        rest = [b for b in range(64) if not m >> b & 1]
+        cut = [len(rest) * i // (radius + 1) for i in range(radius + 2)]
+        finer.append(F.array(*[F.lit(signed(m | sum(1 << b for b in rest[x:y]))) for x, y in zip(cut[:-1], cut[1:])]))
+    masks = F.get(F.array(*finer), F.col("key.pair"))
+    again = F.transform(masks, lambda m, i: F.struct((F.col("key.pair") + len(pairs) * (i + 1)).alias("pair"), F.col("fp").bitwiseAND(m).alias("bits")))
+    hot = dealt.filter(F.col("n") > rekey_rows).select("fp", F.explode(again).alias("key"))
+    met = dealt.filter(F.col("n") <= rekey_rows).unionByName(_sized(hot))
     slices = F.ceil(F.col("n") / shard_rows).cast("int")
     own = F.pmod(F.xxhash64("fp"), slices).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least(s, F.col("own")).alias("lo"), F.greatest(s, F.col("own")).alias("hi")))
@@ -188,7 +207,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, bu
         a, b = spanning(fp.view(np.uint64), shard, held, asks, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return placed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return placed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -237,7 +256,8 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int
     component is named by its smallest ``doc_id``.  Null, empty and white texts
     have fingerprint zero and link like any other.  Rows with equal ids or texts
     all stay.  A row without an id takes part in links and is never the name,
-    unless its whole component has no id (then the name is null).
+    unless its whole component has no id (then the name is null).  Texts are read
+    whole, however long.  An empty table gives no rows.
     """
     marked, named = _classes(docs, shingle, radius, scratch or Scratch(docs.sparkSession, "simhash"))
     return join_hot(marked, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -250,21 +270,26 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, scra
     without an id go if their component has an id, and all stay if it has none.
     """
     _, named = _classes(docs, shingle, radius, scratch or Scratch(docs.sparkSession, "simhash"))
-    chosen = named.filter("component_id is not null").select(F.col("component_id").alias("_chosen")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_chosen"), "left_semi")
+    return _kept(docs, named, shingle)
+
+
+def _kept(docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    (at,) = unused(docs, "fp")
+    chosen = named.filter("component_id is not null").select(F.col("component_id").alias(at)).distinct()
+    kept = docs.join(chosen, docs["doc_id"].cast("long") == chosen[at], "left_semi")
     free = named.filter("component_id is null")
     if not free.limit(1).count():
         return kept
     loose = docs.filter("doc_id is null")
-    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+    schema = StructType([*docs.schema.fields, StructField(at, LongType())])
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint((t or "").encode(), shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "_fp"])
+            yield pa.record_batch([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, at])
 
     marked = loose.mapInArrow(run, schema)
-    return kept.unionByName(marked.join(free.select(F.col("fp").alias("_fp")), "_fp", "left_semi").drop("_fp"))
+    return kept.unionByName(marked.join(free.select(F.col("fp").alias(at)), at, "left_semi").drop(at))
 
 
 def query(docs: DataFrame) -> DataFrame:

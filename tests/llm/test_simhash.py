@@ -69,7 +69,12 @@ def test_tiles_and_chains(spark):
             seen.add(x)
     ids = sorted(seen)
     df = spark.createDataFrame([(i - (1 << 64) if i >> 63 else i,) for i in ids], "fp long")
-    edges = simhash.links(df, shard_rows=4)
+    for rekey_rows in (6, simhash.REKEY_ROWS):
+        check_links(spark, df, ids, rekey_rows)
+
+
+def check_links(spark, df, ids, rekey_rows):
+    edges = simhash.links(df, shard_rows=4, rekey_rows=rekey_rows)
     roots = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(edges, Scratch(spark, "t")).collect()}
     group = {i: i for i in ids}
 
