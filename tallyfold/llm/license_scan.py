@@ -19,7 +19,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, unused
 
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -209,25 +209,28 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Every input column stays; one of the same name as an output is replaced.
     Null, empty and wordless texts have no words: counts 0, empty labels, score 0,
-    null places.  Repeated rows are judged each on its own.
+    null places.  Repeated rows are judged each on its own.  Texts of any length are
+    read whole.  Of hits that cover the same words the one of the first rule stands.
+    An empty table stays empty.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    low = F.col("_low")
+    low_, norm_, hits_, base_, stand_ = unused(docs, "low", "norm", "hits", "base", "stand")
+    low = F.col(low_)
     gate = F.rlike(t, F.lit(f"(?i)(?<!{_WORD})cc(?!{_WORD})"))
     for mark in MARKS:
         gate = gate | F.contains(low, F.lit(mark))
     norm = F.concat(F.lit(" "), F.btrim(F.translate(F.regexp_replace(t, _GAP, " "), _UPPER, _LOWER), F.lit(" ")), F.lit(" "))
     table = json.dumps([{**asdict(r), "keyword": f" {r.keyword}"} for r in RULES])
     rules = F.from_json(F.lit(table), "array<struct<number:int,priority:int,label:string,keyword:string,pattern:string,weight:double>>")
-    df = docs.withColumn("_low", F.lower(t)).withColumns({"n_words": F.regexp_count(t, F.lit(_WORD + "+")).cast("long"), "_norm": F.when(gate, norm)})
-    n = F.col("_norm")
+    df = docs.withColumn(low_, F.lower(t)).withColumns({norm_: F.when(gate, norm), "n_words": F.regexp_count(t, F.lit(_WORD + "+")).cast("long")})
+    n = F.col(norm_)
     fired = F.filter(rules, lambda r: F.contains(n, r["keyword"]))
     hits = F.flatten(F.transform(fired, lambda r: _places(n, r)))
-    df = df.withColumn("_hits", F.when(n.isNotNull(), hits)).withColumn("_base", F.filter("_hits", lambda h: h["priority"] == 0))
-    df = df.withColumn("_stand", _standing(F.col("_hits")))
-    starts = F.transform("_base", lambda h: h["start"])
+    df = df.withColumn(hits_, F.when(n.isNotNull(), hits)).withColumn(base_, F.filter(hits_, lambda h: h["priority"] == 0))
+    df = df.withColumn(stand_, _standing(F.col(hits_)))
+    starts = F.transform(base_, lambda h: h["start"])
     none = F.array().cast(f"array<{_HIT}>")
-    stand, base = F.coalesce("_stand", none), F.coalesce("_base", none)
+    stand, base = F.coalesce(stand_, none), F.coalesce(base_, none)
     shown = F.transform(stand, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["label"].alias("label"), h["number"].alias("rule"), h["weight"].alias("weight")))
     df = df.withColumns(
         {
@@ -239,7 +242,7 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
             "score": F.coalesce(F.array_max(F.transform(stand, lambda h: h["weight"])), F.lit(0.0)),
             "detections": shown,
         }
-    ).drop("_low", "_norm", "_hits", "_base", "_stand")
+    ).drop(low_, norm_, hits_, base_, stand_)
     return settle(df, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, fold, settle
+from .common import WS_CLASS, fold, settle, unused
 
 #: Labelled documents that a list is learned from, at most.
 SAMPLE_ROWS = 4000
@@ -35,44 +35,45 @@ _BLANK = " \t\n\x0b\f\r"
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "distinct_share")
 
 
-def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long) to the rows.
+def base_statistics(docs: DataFrame, text: str = "text", words_as: str = "_words") -> DataFrame:
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long) and the words to the rows.
 
     Null texts count as empty: all zero.
     """
+    lines_, windows_, again_, placed_, at_ = unused(docs.withColumn(words_as, F.lit(0)), "lines", "windows", "again", "placed", "at")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     trimmed = F.btrim(t, F.lit(_BLANK))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     df = docs.withColumns(
         {
-            "_words": F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{_WS}+")),
+            words_as: F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{_WS}+")),
             "word_chars": (F.length(t) - F.regexp_count(t, F.lit(_WS))).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "_lines": F.when(F.contains(t, F.lit("\n")), lines),
+            lines_: F.when(F.contains(t, F.lit("\n")), lines),
         }
     )
-    words = F.col("_words")
+    words = F.col(words_as)
     df = df.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "n_dup_lines": F.coalesce(F.size("_lines") - F.size(F.array_distinct("_lines")), F.lit(0)).cast("long"),
-            "_windows": F.when(F.size(words) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))),
+            "n_dup_lines": F.coalesce(F.size(lines_) - F.size(F.array_distinct(lines_)), F.lit(0)).cast("long"),
+            windows_: F.when(F.size(words) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))),
         }
-    ).drop("_lines")
+    ).drop(lines_)
     # most texts repeat no window; only the others sort theirs with positions
-    df = df.withColumn("_again", F.size(F.array_distinct("_windows")) < F.size("_windows"))
-    placed = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_placed", F.when(F.col("_again"), placed))
-    same = lambda a, b: F.get("_placed", a)["h"] == F.get("_placed", b)["h"]
-    twice = F.filter("_placed", lambda p, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
-    df = df.withColumn("_at", F.when(F.col("_again"), F.array_sort(F.transform(twice, lambda p: p["i"]))))
-    gaps = F.transform("_at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", k + 1) - p, F.lit(WINDOW))))
+    df = df.withColumn(again_, F.size(F.array_distinct(windows_)) < F.size(windows_))
+    placed = F.array_sort(F.transform(windows_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(placed_, F.when(F.col(again_), placed))
+    same = lambda a, b: F.get(placed_, a)["h"] == F.get(placed_, b)["h"]
+    twice = F.filter(placed_, lambda p, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
+    df = df.withColumn(at_, F.when(F.col(again_), F.array_sort(F.transform(twice, lambda p: p["i"]))))
+    gaps = F.transform(at_, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at_, k + 1) - p, F.lit(WINDOW))))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
-    df = df.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(F.lit(0)).cast("long")).drop("_windows", "_again", "_placed", "_at")
-    return settle(df, "_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    df = df.withColumn("n_repeat_words", F.when(F.col(again_), covered).otherwise(F.lit(0)).cast("long")).drop(windows_, again_, placed_, at_)
+    return settle(df, words_as, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _features(text: str) -> dict[str, Column]:
+def _features(text: str, words_as: str = "_words") -> dict[str, Column]:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     words = F.col("n_words")
@@ -83,7 +84,7 @@ def _features(text: str) -> dict[str, Column]:
         "repeat_share": share(F.col("n_repeat_words"), words),
         "upper_share": share(F.regexp_count(t, F.lit("[A-Z]")), F.col("word_chars")),
         "mark_share": share(F.regexp_count(t, F.lit(r"[!?;:]")), F.col("word_chars")),
-        "distinct_share": share(F.size(F.array_distinct("_words")), words),
+        "distinct_share": share(F.size(F.array_distinct(words_as)), words),
     }
 
 
@@ -202,10 +203,11 @@ def learn_list(x: np.ndarray, bad: np.ndarray, *, cuts: int = 64, most_tests: in
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DecisionList:
     """A list from the labelled rows of the learning folds; without usable labels the list is empty."""
-    marked = labels.filter(F.col("quality").isin(0, 1) & (fold() != 0)).select("doc_id", F.col("quality").alias("_q"))
+    marked = labels.filter(F.col("quality").isin(0, 1) & (fold() != 0)).select("doc_id", F.col("quality").cast("int").alias("_q")).distinct()
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "_q").limit(sample_rows)
     found = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id")  # at most sample_rows ids
-    stats = base_statistics(found).withColumns(_features("text")).select(*FEATURES, "_q").collect()  # their statistics: eight numbers each
+    stats = base_statistics(found).withColumns(_features("text")).groupBy("doc_id", "_q").agg(F.min(F.struct(*FEATURES)).alias("x"))  # an id that stands twice counts once
+    stats = stats.orderBy("doc_id", "_q").select("x.*", "_q").collect()  # eight numbers for each id
     if not stats:
         return DecisionList()
     data = np.array([[float(v) for v in r] for r in stats])
@@ -218,13 +220,14 @@ def quality_rules(docs: DataFrame, rules: DecisionList, text: str = "text") -> D
 
     Every input column stays; a column of the same name as an output is replaced.
     Null, empty and white texts have no words, so ``base_failed`` is true.  Rows
-    are judged on their own: repeated rows get equal verdicts, an empty table
-    stays empty.
+    are judged on their own, whatever their length: repeated rows get equal
+    verdicts, an empty table stays empty.
     """
-    out = base_statistics(docs, text)
+    (words,) = unused(docs, "words")
+    out = base_statistics(docs, text, words)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    cols = {"n_words": F.col("n_words")} | _features(text)
-    return out.withColumns({"base_failed": failed, "rule": rules.column(cols)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("_words")
+    cols = {"n_words": F.col("n_words")} | _features(text, words)
+    return out.withColumns({"base_failed": failed, "rule": rules.column(cols)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(words)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

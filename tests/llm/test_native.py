@@ -61,6 +61,15 @@ def test_license_odd(odd):
     assert [got[n - k].labels for k in (5, 4, 3, 2)] == ["apache-2", "gpl-3", "mit", "mit"]
     assert license_scan.query(odd.limit(0)).collect() == []
     assert set(odd.columns) <= set(license_scan.license_scan(odd).columns)
+    clash = odd.select("doc_id", "text").withColumns({c: F.lit(c) for c in ("low", "norm", "hits", "base", "stand", "_low")})
+    out = license_scan.license_scan(clash)
+    assert [r[c] for r in out.limit(3).collect() for c in clash.columns[2:]] == clash.columns[2:] * 3
+
+
+def test_rules_keep_clashing_columns(odd):
+    clash = odd.select("doc_id", "text").withColumns({c: F.lit(c) for c in ("words", "lines", "windows", "again", "placed", "at", "_words", "_again")})
+    out = quality_rules.quality_rules(clash, quality_rules.DecisionList())
+    assert [r[c] for r in out.limit(3).collect() for c in clash.columns[2:]] == clash.columns[2:] * 3
 
 
 def stats(text):
