@@ -104,7 +104,10 @@ class Matcher:
         for item, starts in spots.items():
             (item_id, pattern), k = self.items[item], self.budget[item]
             best = None
-            whole = text.find(pattern)
+            # without an edit to spare an item counts as words: "yes" is not in "yesterday"
+            whole = text.find(pattern) if k else f" {text} ".find(f" {pattern} ")
+            if not k and whole < 0:
+                continue
             if whole >= 0:
                 best = (0, whole + len(pattern))
             else:
@@ -157,8 +160,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT,
     (integer), ``text``; other columns are ignored.  One row per document and
     item with its smallest distance; ``end`` is where that passage ends in the
     folded text.  Null and empty texts, and items without a letter or digit,
-    match nothing.  Items with equal texts each match; rows of a repeated
-    document are judged each on its own.
+    match nothing.  An item of less than two pieces' length must stand as whole
+    words.  Items with equal texts each match; rows of a repeated document are
+    judged each on its own; of places with the same distance the first is given.
+    Texts of any length are searched whole.  An empty table of either kind gives
+    no rows.
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -45,7 +45,7 @@ def want(docs, items):
             p, s = dc.fold_text(x), dc.fold_text(t)
             if p and s and len(s) < 10_000:
                 n = edit(p, s)
-                if n <= dc.budget(len(p)):
+                if n <= dc.budget(len(p)) and (dc.budget(len(p)) or f" {p} " in f" {s} "):
                     out.append((d, i, n))
     return sorted(out, key=str)
 
@@ -65,6 +65,12 @@ def test_matches_and_filter(spark):
         assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in gone), key=str)
 
 
+def test_short_items_stand_as_words():
+    items = [(1, "yes"), (2, "in or out")]
+    found = lambda t: [i for i, *_ in dc.Matcher(items).find(dc.fold_text(t))]
+    assert found("yesterday") == [] and found("Yes!") == [1] and found("he said yes, in or out") == [1, 2] and found("in or outer") == []
+
+
 def test_empty(spark):
     docs, items = data()
     bench = spark.createDataFrame(items, "item_id long, text string")
