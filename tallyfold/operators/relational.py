@@ -16,6 +16,11 @@ def top_per_key(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows of a total order with their ``rank``; cut before they are numbered, so the window sees k rows."""
+    return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys where null equals null; the right side's keys go."""
     other = right.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -38,6 +43,39 @@ def keyset_page(df: DataFrame, order: list[str], after: tuple | None, size: int)
     return df.orderBy(*order).limit(size)
 
 
+def keyset_page_before(df: DataFrame, order: list[str], before: tuple, size: int) -> DataFrame:
+    """The page before a row, its rows in any order."""
+    rows = df.filter(F.struct(*order) < F.struct(*[F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order, before)]))
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(size)
+
+
+def positional_sample(df: DataFrame, key: str, size: int, ranges: int = 64) -> DataFrame:
+    """``pos, key, within`` of ``size`` evenly spread positions among the rows in the order of an integer ``key``.
+
+    Counts by key are cut into ranges of the key; running counts are made inside
+    a range and begin at the sum of the ranges before it, of which there are few.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    lo, hi, total = counts.agg(F.min(key), F.max(key), F.sum("n")).first()
+    if not total:
+        return counts.select(F.col("n").alias("pos"), key, F.col("n").alias("within"))
+    part = F.floor((F.col(key) - F.lit(lo)) * ranges / F.lit(hi - lo + 1)).cast("int")
+    counts = counts.withColumn("_r", part)
+    sums = {r["_r"]: r.n for r in counts.groupBy("_r").agg(F.sum("n").alias("n")).collect()}  # a row a range
+    at, before = 0, []
+    for r in range(ranges):
+        before += [(r, at)]
+        at += sums.get(r, 0)
+    spark = df.sparkSession
+    counts = counts.join(F.broadcast(spark.createDataFrame(before, "_r int, _at long")), "_r")
+    running = counts.withColumn("_hi", F.col("_at") + F.sum("n").over(Window.partitionBy("_r").orderBy(key)))
+    spots = spark.range(size).select(F.floor(F.col("id") * F.lit(total) / F.lit(size)).cast("long").alias("pos"))
+    bounds = spark.createDataFrame([(r, a, a + sums.get(r, 0)) for r, a in before], "_r int, _from long, _to long")
+    spots = spots.join(F.broadcast(bounds), (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))).select("pos", "_r")
+    found = running.join(F.broadcast(spots), "_r").filter((F.col("pos") >= F.col("_hi") - F.col("n")) & (F.col("pos") < F.col("_hi")))
+    return found.select("pos", key, (F.col("pos") - F.col("_hi") + F.col("n")).alias("within"))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], fill_only: bool = False, owned: Column | None = None) -> DataFrame:
     """Rows of both by key.  New values win, or with ``fill_only`` fill nulls only; rows that ``owned`` denies stay as they are."""
     cols = [c for c in target.columns if c not in keys]

@@ -9,6 +9,19 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
+def _exploded(df: DataFrame, key: str, tokens: str, by: list[str]) -> DataFrame:
+    return df.select(*by, key, tokens, F.size(tokens).alias("n"), F.explode(tokens).alias("_t"))
+
+
+def rare_tokens(left: DataFrame, right: DataFrame, key: str, tokens: str, by: list[str], share: tuple[int, int]) -> DataFrame:
+    """The left side's rarest tokens, as many as a partner must share one of, with ``_df``: how many right rows have each (0: none)."""
+    p, q = share
+    df = _exploded(right, key, tokens, by).groupBy(*by, "_t").agg(F.count("*").alias("_df"))
+    lt = _exploded(left, key, tokens, by).join(df, [*by, "_t"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)).cast("long"))
+    rank = F.row_number().over(Window.partitionBy(*by, key).orderBy("_df", "_t"))
+    return lt.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1).drop("_rank")
+
+
 def set_similarity_join(left: DataFrame, right: DataFrame, key: str, tokens: str, by: list[str], share: tuple[int, int] = (4, 5)) -> DataFrame:
     """Pairs whose token sets share at least ``share`` of their union, within equal ``by`` columns.
 
@@ -18,15 +31,8 @@ def set_similarity_join(left: DataFrame, right: DataFrame, key: str, tokens: str
     the comparison uses whole numbers.
     """
     p, q = share
-    explode = lambda df: df.select(*by, key, tokens, F.size(tokens).alias("n"), F.explode(tokens).alias("_t"))
-    rt = explode(right).select(*by, F.col(key).alias("_rk"), F.col(tokens).alias("_rt"), F.col("n").alias("_rn"), "_t")
-    df = rt.groupBy(*by, "_t").agg(F.count("*").alias("_df"))
-    lt = explode(left).join(df, [*by, "_t"])
-    # tokens that the right side lacks can't match but count in the prefix: they are rarest
-    seen = F.count("*").over(Window.partitionBy(*by, key))
-    rank = F.row_number().over(Window.partitionBy(*by, key).orderBy("_df", "_t"))
-    prefix = F.col("n") - F.ceil(F.col("n") * p / q) + 1 - (F.col("n") - F.col("_seen"))
-    lt = lt.withColumns({"_seen": seen, "_rank": rank}).filter(F.col("_rank") <= prefix).drop("_seen", "_rank", "_df")
+    rt = _exploded(right, key, tokens, by).select(*by, F.col(key).alias("_rk"), F.col(tokens).alias("_rt"), F.col("n").alias("_rn"), "_t")
+    lt = rare_tokens(left, right, key, tokens, by, share).filter("_df > 0").drop("_df")
     fits = (F.col("n") * q >= F.col("_rn") * p) & (F.col("_rn") * q >= F.col("n") * p)
     met = lt.join(rt, [*by, "_t"]).filter(fits).dropDuplicates([*by, key, "_rk"])
     common = F.size(F.array_intersect(tokens, "_rt"))

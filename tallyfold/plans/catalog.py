@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import marts, relational, resolution, scalars, search, workspace  # noqa: F401  they register their queries
+from . import consensus, cookbook, desk, filings, finding, linking, marts, relational, resolution, scalars, search, turnover, workspace  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

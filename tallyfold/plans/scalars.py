@@ -11,20 +11,21 @@ from ..sources.tables import grants, table
 from .registry import query
 
 # Noisy names: part names with punctuation, articles and legal forms by key.
-_NAME_SQL = """WITH names AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'The ' ELSE '' END || p_name || CASE p_partkey % 4 WHEN 0 THEN ', Inc' WHEN 1 THEN ' Trust' WHEN 2 THEN '.  LLC' ELSE '' END AS name FROM part),
+_NAME_SQL = """WITH names AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'The ' ELSE '' END || p_name || CASE p_partkey % 6 WHEN 0 THEN ', Inc' WHEN 1 THEN ' Trust' WHEN 2 THEN '.  L.L.C.' WHEN 3 THEN ' Foundation' WHEN 4 THEN ' GP, LP' ELSE '' END AS name FROM part),
 norm AS (SELECT k, trim(regexp_replace(regexp_replace(upper(name), '[^A-Z0-9_ &-]', ' ', 'g'), ' +', ' ', 'g')) AS nn FROM names)
 """
-_FORMS = "|".join(T.SUFFIXES)
+_FORMS = "INC|INCORPORATED|LLC|L L C|CORP|CORPORATION|CO|LTD|LP|LLP|PC|PA"
+_ENTITY = "LLC|L L C|LTD|INC|CORP|GP|LP|L P|LLP|FUND|FUNDS|GROUP|PARTNERS|CAPITAL|MANAGEMENT|HOLDINGS|ADVISORS|ADVISERS|COMPANY|TRUST"
 
 
 def names(spark, d):
     k = F.col("p_partkey")
-    tail = F.when(k % 4 == 0, ", Inc").when(k % 4 == 1, " Trust").when(k % 4 == 2, ".  LLC").otherwise("")
+    tail = F.when(k % 6 == 0, ", Inc").when(k % 6 == 1, " Trust").when(k % 6 == 2, ".  L.L.C.").when(k % 6 == 3, " Foundation").when(k % 6 == 4, " GP, LP").otherwise("")
     return table(spark, d, "part").select(k.alias("k"), F.concat(F.when(k % 5 == 0, "The ").otherwise(""), F.col("p_name"), tail).alias("name"))
 
 
 @query(_NAME_SQL + f"""SELECT k, nn, trim(regexp_replace(regexp_replace(nn, '^THE +', ''), ' +({_FORMS})$', '')) AS clean,
-regexp_replace(trim(regexp_replace(regexp_replace(nn, '^THE +', ''), ' +({_FORMS})$', '')), '[^A-Z0-9]+', '', 'g') AS squeezed, regexp_matches(nn, '\\b({'|'.join(T.ENTITY_WORDS)})\\b') AS entity FROM norm""")
+regexp_replace(trim(regexp_replace(regexp_replace(nn, '^THE +', ''), ' +({_FORMS})$', '')), '[^A-Z0-9]+', '', 'g') AS squeezed, regexp_matches(nn, '\\b({_ENTITY})\\b') AS entity FROM norm""")
 def fn_names(spark, d):
     """STR-01..04, STR-18."""
     n = T.norm_name(F.col("name"))
@@ -37,11 +38,12 @@ def fn_person_key(spark, d):
     return names(spark, d).select("k", T.person_key(F.col("name")).alias("person"))
 
 
+_OPENINGS = r"""SEE (ATTACH|STATEMENT|STMT|STMNT|SCHEDULE|LIST|SUPPLEMENT|ADDITIONAL (DATA|INFO|SCHEDULE|STATEMENT|LIST|PAGE))|(AS )?PER (ATTACH|SCHEDULE|LIST|STATEMENT|STMT)|VARIOUS|MISC(ELLANEOUS)?( |$)|N A$|NA$|NONE$|OTHER$|GENERAL$|ALL OTHERS?$|UNKNOWN$|NOT APPLICABLE$|CASH GRANTS?$|SCHEDULE( |$)|ATTACH(ED|MENT)?$|ATTACHED (LIST|SCH|STATEMENT|SUPPLEMENT)|ATTACHMENT ([A-Z]|\d+)( |$)|STATEMENT( \d|$)|ANONYMOUS( DONOR)?$|INDIVIDUALS?$|SCHOLARSHIPS?$|SUNDRY|MULTIPLE (RECIPIENT|GRANT|CHARIT|ORGANIZATION)|AVAILABLE (UPON|ON) REQUEST|UNDER (\d{3,}|\d+ ?K|\d{1,3} \d{3})( |$)|(GRANTS|GIFTS|DONATIONS|CONTRIBUTIONS|AMOUNTS) (OF )?(UNDER|LESS THAN|BELOW) (\d{3,}|\d+ ?K|\d{1,3} \d{3})( |$)"""
 _FILLER = "['SEE ATTACHED', 'VARIOUS', 'N A', 'NONE', 'UNDER 5 000', 'GRANTS UNDER 500', 'MISC', 'MISCELLANY', 'SCHEDULE B', 'STATEMENT 7', 'ABC', 'UNDERWOOD']"
 
 
 @query(f"""WITH v AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN {_FILLER}[CAST(p_partkey % 12 + 1 AS INT)] ELSE upper(p_name) END AS nn FROM part)
-SELECT k, nn IS NULL OR length(nn) < 4 OR regexp_matches(nn, '^({"|".join(T.PLACEHOLDERS)})') AS filler FROM v""")
+SELECT k, nn IS NULL OR length(nn) < 4 OR regexp_matches(nn, '^({_OPENINGS})') AS filler FROM v""")
 def fn_placeholder(spark, d):
     """STR-05, FLT-16."""
     k = F.col("p_partkey")
@@ -80,13 +82,14 @@ def fn_email_local(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), T.email_local(a).alias("local"))
 
 
-@query("""WITH v AS (SELECT page_id, split_part(url, '#', 1) AS u FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '/?utm_source=x&id=7#top' WHEN 1 THEN '/' ELSE '?gclid=1' END AS url FROM pages)),
-p AS (SELECT page_id, split_part(u, '?', 1) AS h, array_to_string(list_filter(string_split(split_part(u, '?', 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)=')), '&') AS q FROM v)
-SELECT page_id, lower(regexp_extract(h, '^([A-Za-z]+://[^/]*)', 1)) || regexp_replace(substr(h, length(regexp_extract(h, '^([A-Za-z]+://[^/]*)', 1)) + 1), '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM p""")
+@query("""WITH v AS (SELECT page_id, regexp_replace(url || CASE page_id % 5 WHEN 0 THEN '/?utm_source=x&id=7&a=1?b=2#top' WHEN 1 THEN '/' WHEN 2 THEN '?ref=n&Source=m&mc_eid=1' WHEN 3 THEN '//' ELSE '?gclid=1&q' END, '#.*$', '') AS u FROM pages),
+p AS (SELECT page_id, split_part(u, '?', 1) AS h, CASE WHEN contains(u, '?') THEN substr(u, strpos(u, '?') + 1) ELSE '' END AS q FROM v), w AS (SELECT page_id, regexp_extract(h, '^([a-zA-Z]+)://', 1) AS s, regexp_extract(h, '^[a-zA-Z]+://([^/]*)', 1) AS host, regexp_extract(h, '^[a-zA-Z]+://[^/]*(.*)$', 1) AS path,
+array_to_string(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_full_match(lower(split_part(x, '=', 1)), 'utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|source')), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') AS kept FROM p)
+SELECT page_id, lower(s) || '://' || lower(host) || CASE WHEN path = '' THEN '/' WHEN length(path) > 1 AND path LIKE '%/' THEN left(path, length(path) - 1) ELSE path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS url FROM w""")
 def fn_canonical_url(spark, d):
-    """STR-14, STR-15."""
+    """STR-15."""
     k = F.col("page_id")
-    u = F.concat("url", F.when(k % 3 == 0, "/?utm_source=x&id=7#top").when(k % 3 == 1, "/").otherwise("?gclid=1"))
+    u = F.concat("url", F.when(k % 5 == 0, "/?utm_source=x&id=7&a=1?b=2#top").when(k % 5 == 1, "/").when(k % 5 == 2, "?ref=n&Source=m&mc_eid=1").when(k % 5 == 3, "//").otherwise("?gclid=1&q"))
     return table(spark, d, "pages").select("page_id", T.canonical_url(u).alias("url"))
 
 

@@ -20,7 +20,7 @@ _VEC = f"vec AS (SELECT v.vec_id AS doc_id, CAST(row_number() OVER (ORDER BY rou
 
 
 def _seed(spark, d, vec_id: int):
-    return table(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).first().embedding  # one row: the query
+    return S.seed_vector(table(spark, d, "embeddings"), "vec_id", vec_id)
 
 
 @query(f"{_D} SELECT doc_id FROM d WHERE {_MATCH}")
@@ -89,15 +89,37 @@ def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"[ \t\n\r]+", " ")).alias("body"))
 
 
+def excerpt_places(spark, d):
+    """``item_id, doc_id, text, body, at`` of claimed excerpts that occur in a text, at their first place (from 1).
+
+    An excerpt of five words or more meets the texts that hold its second to
+    fourth word in a row (its outer words may be cut); a shorter one those that hold
+    its first eight characters.  Only such pairs are compared, however many claims
+    there are.
+    """
+    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+    def runs(items, n: int, join):
+        """Distinct runs of n neighbours; shifted copies are zipped, so no element is looked up by its place."""
+        zipped = F.arrays_zip(*[F.slice(items, k + 1, F.greatest(F.size(items) - k, F.lit(0))).alias(f"c{k}") for k in range(n)])
+        full = F.filter(zipped, lambda x: x[f"c{n - 1}"].isNotNull())
+        return F.array_distinct(F.transform(full, lambda x: join(*[x[f"c{k}"] for k in range(n)])))
+
+    b = b.withColumn("ws", words("text"))
+    long = b.filter(F.size("ws") >= 5).withColumn("key", F.xxhash64(F.get("ws", F.lit(1)), F.get("ws", F.lit(2)), F.get("ws", F.lit(3)))).drop("ws")
+    held = docs.select("doc_id", F.explode(runs(words("body"), 3, F.xxhash64)).alias("key")).join(long.select("key").distinct(), "key", "left_semi")
+    found = held.join(long, "key").drop("key").join(docs, "doc_id")
+    short = b.filter(F.size("ws") < 5).filter(F.length("text") > 0).drop("ws").withColumn("n", F.least(F.length("text"), F.lit(8)))
+    for n in sorted(r.n for r in short.select("n").distinct().collect()):  # eight lengths at most
+        some = short.filter(F.col("n") == n).drop("n").withColumn("key", F.left("text", F.lit(n)))
+        parts = docs.select("doc_id", F.explode(runs(F.split("body", ""), n, F.concat)).alias("key"))
+        held = parts.join(some.select("key").distinct(), "key", "left_semi")
+        found = found.unionByName(held.join(some, "key").drop("key").join(docs, "doc_id"))
+    return found.filter(F.contains("body", F.col("text"))).withColumn("at", F.instr("body", F.col("text")))
+
+
 @query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def evidence_excerpts(spark, d):
-    """DQ-05, DQ-06: claimed excerpts that occur in a text.  Claims are blocked by their first line's words, so no pair without a common start is compared."""
-    head = 24
-    b = table(spark, d, "benchmark").withColumn("h", F.left("text", F.lit(head)))
-    docs = table(spark, d, "documents")
-    starts = [r.h for r in b.select("h").distinct().limit(10_001).collect()]
-    if len(starts) > 10_000:  # too many claims for a filter: compare as Spark plans it
-        return b.join(docs.withColumnRenamed("text", "body"), F.contains("body", F.col("text"))).select("item_id", "doc_id")
-    held = F.array(*[F.lit(s) for s in starts])
-    cand = docs.withColumn("h", F.explode(F.filter(held, lambda s: F.contains(F.col("text"), s)))).withColumnRenamed("text", "body")
-    return cand.join(F.broadcast(b), "h").filter(F.contains("body", F.col("text"))).select("item_id", "doc_id")
+    """DQ-05: claimed excerpts that occur in a text."""
+    return excerpt_places(spark, d).select("item_id", "doc_id")
