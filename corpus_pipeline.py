@@ -19,8 +19,9 @@ from tallyfold.llm.common import Scratch, read
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned list rejects go."""
     rules = quality_rules.learn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    judged = quality_rules.quality_rules(docs.withColumn("_in", F.struct(*docs.columns)).select("_in", F.col("text")), rules)
-    return judged.filter("kept").select("_in.*")
+    others = [c for c in docs.columns if c != "text"]
+    judged = quality_rules.quality_rules(docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_in"), "text"), rules)
+    return judged.filter("kept").select(*["text" if c == "text" else F.col(f"_in.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,31 +35,32 @@ _BLANK = " \t\n\x0b\f\r"
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "distinct_share")
 
 
-def base_statistics(docs: DataFrame, text: str = "text", words_as: str = "_words") -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long) and the words to the rows.
+def base_statistics(docs: DataFrame, text: str = "text", distinct_as: str = "_distinct") -> DataFrame:
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and the number of different words (long) to the rows.
 
     Null texts count as empty: all zero.
     """
-    lines_, windows_, again_, placed_, at_ = unused(docs.withColumn(words_as, F.lit(0)), "lines", "windows", "again", "placed", "at")
+    words_, lines_, windows_, again_, placed_, at_ = unused(docs.withColumn(distinct_as, F.lit(0)), "words", "lines", "windows", "again", "placed", "at")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     trimmed = F.btrim(t, F.lit(_BLANK))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     df = docs.withColumns(
         {
-            words_as: F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{_WS}+")),
+            words_: F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{_WS}+")),
             "word_chars": (F.length(t) - F.regexp_count(t, F.lit(_WS))).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
             lines_: F.when(F.contains(t, F.lit("\n")), lines),
         }
     )
-    words = F.col(words_as)
+    words = F.col(words_)
     df = df.withColumns(
         {
             "n_words": F.size(words).cast("long"),
+            distinct_as: F.size(F.array_distinct(words)).cast("long"),
             "n_dup_lines": F.coalesce(F.size(lines_) - F.size(F.array_distinct(lines_)), F.lit(0)).cast("long"),
             windows_: F.when(F.size(words) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))),
         }
-    ).drop(lines_)
+    ).drop(lines_, words_)
     # most texts repeat no window; only the others sort theirs with positions
     df = df.withColumn(again_, F.size(F.array_distinct(windows_)) < F.size(windows_))
     placed = F.array_sort(F.transform(windows_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -70,10 +71,10 @@ def base_statistics(docs: DataFrame, text: str = "text", words_as: str = "_words
     gaps = F.transform(at_, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at_, k + 1) - p, F.lit(WINDOW))))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
     df = df.withColumn("n_repeat_words", F.when(F.col(again_), covered).otherwise(F.lit(0)).cast("long")).drop(windows_, again_, placed_, at_)
-    return settle(df, words_as, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return settle(df, distinct_as, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _features(text: str, words_as: str = "_words") -> dict[str, Column]:
+def _features(text: str, distinct: str = "_distinct") -> dict[str, Column]:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     words = F.col("n_words")
@@ -84,7 +85,7 @@ def _features(text: str, words_as: str = "_words") -> dict[str, Column]:
         "repeat_share": share(F.col("n_repeat_words"), words),
         "upper_share": share(F.regexp_count(t, F.lit("[A-Z]")), F.col("word_chars")),
         "mark_share": share(F.regexp_count(t, F.lit(r"[!?;:]")), F.col("word_chars")),
-        "distinct_share": share(F.size(F.array_distinct(words_as)), words),
+        "distinct_share": share(F.col(distinct), words),
     }
 
 
@@ -206,11 +207,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: i
     marked = labels.filter(F.col("quality").isin(0, 1) & (fold() != 0)).select("doc_id", F.col("quality").cast("int").alias("_q")).distinct()
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "_q").limit(sample_rows)
     found = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id")  # at most sample_rows ids
-    stats = base_statistics(found).withColumns(_features("text")).groupBy("doc_id", "_q").agg(F.min(F.struct(*FEATURES)).alias("x"))  # an id that stands twice counts once
-    stats = stats.orderBy("doc_id", "_q").select("x.*", "_q").collect()  # eight numbers for each id
+    stats = base_statistics(found).withColumns(_features("text")).groupBy("doc_id", "_q").agg(*[F.min(c).alias(c) for c in FEATURES])  # an id that stands twice counts once, by the least of each
+    stats = sorted(stats.select("doc_id", "_q", *FEATURES).collect())  # eight numbers for each id
     if not stats:
         return DecisionList()
-    data = np.array([[float(v) for v in r] for r in stats])
+    data = np.array([[float(v) for v in [*r[2:], r[1]]] for r in stats])
     keep = (data[:, 0] >= MIN_WORDS) & (100 * data[:, FEATURES.index("repeat_share")] <= MAX_REPEAT_PERCENT)  # the base rule has the others
     return learn_list(data[keep, :-1], data[keep, -1] == 0)
 
@@ -223,11 +224,11 @@ def quality_rules(docs: DataFrame, rules: DecisionList, text: str = "text") -> D
     are judged on their own, whatever their length: repeated rows get equal
     verdicts, an empty table stays empty.
     """
-    (words,) = unused(docs, "words")
-    out = base_statistics(docs, text, words)
+    (distinct,) = unused(docs, "distinct")
+    out = base_statistics(docs, text, distinct)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    cols = {"n_words": F.col("n_words")} | _features(text, words)
-    return out.withColumns({"base_failed": failed, "rule": rules.column(cols)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(words)
+    cols = {"n_words": F.col("n_words")} | _features(text, distinct)
+    return out.withColumns({"base_failed": failed, "rule": rules.column(cols)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(distinct)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
