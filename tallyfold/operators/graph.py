@@ -1,19 +1,11 @@
-"""Connected components over checkpointed tables."""
+"""Connected components over written tables."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder; a folder of its own only where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallyfold-"))
-    return df.checkpoint()
+from .durable import Tables
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -22,13 +14,15 @@ def components(pairs: DataFrame) -> DataFrame:
     Each round a node takes its neighbours' smallest root and then that root's
     own, so the rounds grow with the logarithm of a chain's length.
     """
-    both = _durable(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    now = _durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"))
+    tables = Tables(pairs.sparkSession, "components")
+    both = tables.save(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    now = tables.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"))
     while True:
         near = both.join(now.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("r")).withColumnRenamed("u", "node")
         met = now.join(near, "node").select("node", F.least("root", "r").alias("root"))
         jump = met.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = _durable(met.join(jump, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
+        after = tables.save(met.join(jump, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
         if not after.join(now, ["node", "root"], "left_anti").limit(1).count():
             return after
+        tables.drop(now)
         now = after

@@ -155,7 +155,7 @@ def alias_links(spark, d):
 _LINKS = ", links AS (SELECT event_id, fin.nn, fin.st, fin.org_id, fin.org_id % 25 AS file_id FROM fin JOIN raw ON raw.nn = fin.nn AND raw.st = fin.st AND kind = 'T' AND list_contains(witness, raw.city) WHERE status = 'unanimous' AND n_filers >= 3)"
 
 
-@query(cte(*_OF, "raw_files", "licensing_map") + _ALIAS + _LINKS + " SELECT l.event_id, l.nn, l.org_id FROM links l JOIN funding_events e ON e.event_id = l.event_id JOIN raw_files a ON a.file_id = l.file_id JOIN licensing_map la ON la.license_code = a.license_code JOIN raw_files b ON b.file_id = e.file_id JOIN licensing_map lb ON lb.license_code = b.license_code WHERE la.republishable AND lb.republishable AND e.recipient_org_id IS NULL")
+@query(cte(*_OF, "raw_files", "licensing_map") + _ALIAS + _LINKS + ", ok AS (SELECT file_id FROM raw_files f JOIN licensing_map l ON l.license_code = f.license_code WHERE republishable) SELECT event_id, nn, org_id FROM links l WHERE file_id IN (SELECT file_id FROM ok) AND EXISTS (SELECT 1 FROM funding_events e WHERE e.event_id = l.event_id AND e.recipient_org_id IS NULL AND e.file_id IN (SELECT file_id FROM ok))")
 def view_alias_links(spark, d):
     """VIEW-15: links whose two files may both be shown and whose row no one else has linked since."""
     files = rel(spark, d, "raw_files").join(rel(spark, d, "licensing_map").filter("republishable"), "license_code").select("file_id")

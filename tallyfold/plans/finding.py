@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import relational as R
 from ..operators import search as S
+from ..operators.durable import durable
 from ..operators.understand import LEG_LIMITS, WEIGHTS
 from ..sources.standin import cte, rel
 from ..sources.tables import table
@@ -100,7 +101,7 @@ def giving_in(spark, d, state: str):
 
 def topic_pool(spark, d, words: str, state: str, vec_id: int, limits=LEG_LIMITS, weights=WEIGHTS):
     """Up to four ranked legs, each cut before it is numbered, merged by weighted reciprocal ranks; the best keep on to their features and fit."""
-    doc = documents(spark, d)
+    doc = durable(documents(spark, d), "documents")  # read by each leg
     order = (F.col("yearly").desc_nulls_last(), F.asc("org_id"))
     leg = lambda df, n, k, *by: R.ranked(df, n, *by).select("org_id", F.col("rank").alias("r"), F.lit(k).alias("leg"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("org_id"), "embedding").join(doc.select("org_id"), "org_id", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
 from ..operators import relational as R
+from ..operators.quantiles import quantiles
 from ..sources.tables import GRANTS_SQL as G
 from ..sources.tables import grants, table
 from .registry import query
@@ -25,7 +26,7 @@ def _files(spark, d):
 
 @query("SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
 def view_publishable(spark, d):
-    """VIEW-01..14, FLT-17, JN-01."""
+    """FLT-17, JN-01; the public views themselves are in ``filings``."""
     return publishable(table(spark, d, "supplier"), _files(spark, d), "s_nationkey").select("s_suppkey", "s_name")
 
 
@@ -139,8 +140,10 @@ def mart_giving_by_cause(spark, d):
 @query(G + """SELECT funder_id, round(quantile_cont(CAST(amount AS DOUBLE), 0.5), 4) AS median, round(quantile_cont(CAST(amount AS DOUBLE), 0.25), 4) AS p25, round(quantile_cont(CAST(amount AS DOUBLE), 0.75), 4) AS p75, count(DISTINCT fy) AS n_years FROM grants GROUP BY 1""")
 def mart_grant_profile(spark, d):
     """MART-16."""
-    p = lambda q: F.round(F.percentile(F.col("amount").cast("double"), q), 4)
-    return grants(spark, d).groupBy("funder_id").agg(p(0.5).alias("median"), p(0.25).alias("p25"), p(0.75).alias("p75"), F.count_distinct("fy").alias("n_years"))
+    g = grants(spark, d).select("funder_id", "fy", "amount")
+    q = quantiles(g, ["funder_id"], "amount", {"median": ("cont", 0.5), "p25": ("cont", 0.25), "p75": ("cont", 0.75)})
+    years = g.groupBy("funder_id").agg(F.count_distinct("fy").alias("n_years"))
+    return years.join(q, "funder_id").select("funder_id", *[F.round(c, 4).alias(c) for c in ("median", "p25", "p75")], "n_years")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'revoked' WHEN n_open > 0 THEN 'listed' WHEN n > 0 THEN 'filing' ELSE 'unlisted' END AS standing, CAST(coalesce(n, 0) AS BIGINT) AS n
@@ -174,7 +177,9 @@ def snk_upsert_fill(spark, d):
     return R.upsert(old, new, ["k"], fill_only=True)
 
 
-@query("SELECT upper(regexp_replace(trim(s_name), '[^A-Za-z0-9_ &-]', ' ', 'g')) AS name, count(*) AS n FROM supplier GROUP BY 1")
+@query("SELECT trim(regexp_replace(regexp_replace(upper(p_name || CASE p_partkey % 3 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' & Co' ELSE '  (new)' END), '[^A-Z0-9_ &-]', ' ', 'g'), ' +', ' ', 'g')) AS name, count(*) AS n FROM part GROUP BY 1")
 def fn_norm_name_groups(spark, d):
-    """STR-01 as a grouping key, AGG-14."""
-    return table(spark, d, "supplier").groupBy(norm_name(F.col("s_name")).alias("name")).agg(F.count("*").alias("n"))
+    """STR-01 as a grouping key."""
+    k = F.col("p_partkey")
+    tail = F.when(k % 3 == 0, ", Inc.").when(k % 3 == 1, " & Co").otherwise("  (new)")
+    return table(spark, d, "part").groupBy(norm_name(F.concat("p_name", tail)).alias("name")).agg(F.count("*").alias("n"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.quantiles import quantiles
 from ..sources.tables import GRANTS_SQL as G
 from ..sources.tables import grants, table
-from .registry import ORACLES, query
+from .registry import query
 
 
 def _d(c):
@@ -47,10 +48,10 @@ def jn_semi(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def jn_anti(spark, d):
     """JN-05."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""WITH a AS (SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_nationkey END AS state FROM customer),
@@ -88,18 +89,9 @@ def jn_range_on_key(spark, d):
     return y.withColumn("n_prior", n).filter("n_prior > 0")
 
 
-@query("""WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part WHERE p_partkey % 20 = 0)
-SELECT a.p_partkey AS a, b.p_partkey AS b, count(*) AS shared FROM t a JOIN t b ON a.tok = b.tok AND a.p_partkey < b.p_partkey GROUP BY 1, 2 HAVING count(*) >= 2""")
-def jn_token_index(spark, d):
-    """JN-14, JN-23: an inverted index of name tokens; the query set is every part whose key 20 divides."""
-    t = table(spark, d, "part").filter("p_partkey % 20 = 0").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("tok"))
-    a, b = t.select(F.col("p_partkey").alias("a"), "tok"), t.select(F.col("p_partkey").alias("b"), "tok")
-    return a.join(b, "tok").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")
-
-
 @query("""WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, count(*) AS shared FROM t a JOIN t b ON a.tok = b.tok AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= 2""")
-def jn_token_index_all(spark, d):
+def jn_token_index(spark, d):
     """JN-14, JN-23: the parts whose key 20 divides ask, and the index holds every part."""
     t = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("tok"))
     a, b = t.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), "tok"), t.select(F.col("p_partkey").alias("b"), "tok")
@@ -138,28 +130,29 @@ def agg_conditional(spark, d):
     )
 
 
-@query("""SELECT s_nationkey, string_agg(s_name, '; ' ORDER BY s_acctbal DESC, s_suppkey) AS names, string_agg(DISTINCT left(s_name, 8), ',' ORDER BY left(s_name, 8)) AS kinds FROM supplier GROUP BY 1""")
+@query("""SELECT s_nationkey, string_agg(s_name, '; ' ORDER BY s_acctbal DESC, s_suppkey) AS names, string_agg(DISTINCT right(s_name, 1), ',' ORDER BY right(s_name, 1)) AS kinds FROM supplier GROUP BY 1""")
 def agg_ordered_strings(spark, d):
     """AGG-05, AGG-06."""
     s = table(spark, d, "supplier")
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s_acctbal")).alias("o"), "s_suppkey", "s_name"))), lambda x: x["s_name"]), "; ")
-    return s.groupBy("s_nationkey").agg(names.alias("names"), F.array_join(F.array_sort(F.collect_set(F.left("s_name", F.lit(8)))), ",").alias("kinds"))
+    return s.groupBy("s_nationkey").agg(names.alias("names"), F.array_join(F.array_sort(F.collect_set(F.right("s_name", F.lit(1)))), ",").alias("kinds"))
 
 
-@query(G + "SELECT funder_id, array_to_string(list_slice(list_sort(list(DISTINCT fy)), 1, 3), ',') AS first_years FROM grants GROUP BY 1")
+@query(G + "SELECT filing_id % 500 AS k, array_to_string(list_slice(list_sort(list(DISTINCT fy) FILTER (status = 'F' AND flag = 'R')), 1, 3), ',') AS first_years FROM grants WHERE status = 'F' AND flag = 'R' GROUP BY 1")
 def agg_distinct_array(spark, d):
     """AGG-07."""
-    return grants(spark, d).groupBy("funder_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("fy")), 1, 3), ",").alias("first_years"))
+    g = grants(spark, d).filter("status = 'F' and flag = 'R'")
+    return g.groupBy((F.col("filing_id") % 500).alias("k")).agg(F.array_join(F.slice(F.array_sort(F.collect_set("fy")), 1, 3), ",").alias("first_years"))
 
 
 @query(G + """SELECT fy, round(quantile_cont(CAST(amount AS DOUBLE), 0.5), 4) AS median, CAST(quantile_disc(amount, 0.99) AS DOUBLE) AS p99,
 round(quantile_cont(CAST(amount AS DOUBLE), 0.25) FILTER (flag = 'R'), 4) AS p25_returned FROM grants GROUP BY 1""")
 def agg_percentiles(spark, d):
     """AGG-09, AGG-10, MTH-04."""
-    grants(spark, d).select("fy", "flag", "amount").createOrReplaceTempView("_grants_pct")
-    return spark.sql("""SELECT fy, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE)), 4) AS median,
-      CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE)) AS DOUBLE) AS p99,
-      round(percentile_cont(0.25) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE)) FILTER (WHERE flag = 'R'), 4) AS p25_returned FROM _grants_pct GROUP BY fy""")
+    g = grants(spark, d).select("fy", "amount", F.when(F.col("flag") == "R", F.col("amount")).alias("returned"))
+    every = quantiles(g, ["fy"], "amount", {"median": ("cont", 0.5), "p99": ("disc", 0.99)})
+    some = quantiles(g, ["fy"], "returned", {"p25_returned": ("cont", 0.25)})
+    return every.join(some, "fy", "left").select("fy", F.round("median", 4).alias("median"), "p99", F.round("p25_returned", 4).alias("p25_returned"))
 
 
 @query(G + "SELECT CAST(floor(ln(amount)) AS INT) AS bucket, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM grants WHERE amount > 0 GROUP BY 1")
@@ -175,22 +168,16 @@ def agg_rollup(spark, d):
     return grants(spark, d).rollup("flag", "status").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
 
 
-@query(G + "SELECT funder_id, round(100.0 * count(*) FILTER (flag = 'R') / nullif(count(*) FILTER (fy = 1992), 0), 6) AS pct FROM grants GROUP BY 1")
+@query(G + "SELECT funder_id, round(100.0 * count(*) FILTER (flag = 'R') / nullif(count(*) FILTER (fy = 1998), 0), 6) AS pct FROM grants GROUP BY 1")
 def agg_share_guarded(spark, d):
     """AGG-15."""
-    return grants(spark, d).groupBy("funder_id").agg(F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("flag") == "R"), F.count_if(F.col("fy") == 1992).cast("double")), 6).alias("pct"))
-
-
-@query(ORACLES["agg_share_guarded"].replace("fy = 1992", "fy = 1998"))
-def agg_share_guarded_1998(spark, d):
-    """AGG-15 with a year that the orders have."""
     return grants(spark, d).groupBy("funder_id").agg(F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("flag") == "R"), F.count_if(F.col("fy") == 1998).cast("double")), 6).alias("pct"))
 
 
-@query(G + "SELECT recipient_id, CASE WHEN count(DISTINCT flag) = 1 THEN min(flag) END AS only_flag FROM grants GROUP BY 1")
+@query(G + "SELECT filing_id, CASE WHEN count(DISTINCT flag) = 1 THEN min(flag) END AS only_flag FROM grants GROUP BY 1")
 def agg_single_or_null(spark, d):
     """AGG-20."""
-    return grants(spark, d).groupBy("recipient_id").agg(R.single_or_null("flag").alias("only_flag"))
+    return grants(spark, d).groupBy("filing_id").agg(R.single_or_null("flag").alias("only_flag"))
 
 
 @query(G + "SELECT funder_id, CAST(sum(amount) FILTER (status = 'F') AS DOUBLE) AS f, CAST(sum(amount) FILTER (status = 'O') AS DOUBLE) AS o, CAST(sum(amount) FILTER (status = 'P') AS DOUBLE) AS p FROM grants GROUP BY 1")
@@ -277,15 +264,8 @@ def flt_text_predicates(spark, d):
     return table(spark, d, "part").filter((n.ilike("%green%") | n.ilike("b%")) & F.col("p_size").between(5, 20) & F.col("p_brand").rlike("^Brand#[1-3]")).select("p_partkey")
 
 
-@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) > DATE '2024-03-01' - INTERVAL 30 DAY AND CAST(ts AS DATE) <= DATE '2024-03-01'")
+@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-20' - INTERVAL 30 DAY AND CAST(ts AS DATE) <= DATE '2024-01-20'")
 def flt_relative_window(spark, d):
     """FLT-14: windows count from a given day, never from the clock."""
     day = F.col("ts").cast("date")
-    return table(spark, d, "events").filter((day > F.date_sub(F.lit("2024-03-01").cast("date"), 30)) & (day <= F.lit("2024-03-01").cast("date"))).select("event_id")
-
-
-@query(ORACLES["flt_relative_window"].replace("2024-03-01", "2024-01-20"))
-def flt_relative_window_january(spark, d):
-    """FLT-14 with a day that the events have."""
-    day = F.col("ts").cast("date")
     return table(spark, d, "events").filter((day > F.date_sub(F.lit("2024-01-20").cast("date"), 30)) & (day <= F.lit("2024-01-20").cast("date"))).select("event_id")

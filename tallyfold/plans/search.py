@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine
 from ..operators import search as S
 from ..sources.tables import table
-from .registry import ORACLES, query
+from .registry import query
 
 _TOK = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
 _HAS = "contains(' ' || array_to_string(ts, ' ') || ' ', ' {} ')"
@@ -35,18 +34,10 @@ def fts_prefix(spark, d):
     return table(spark, d, "documents").filter(F.exists(S.tokens(F.col("text")), lambda t: t.startswith("licen"))).select("doc_id")
 
 
-@query(f"""{_D}, p AS (SELECT doc_id, unnest(ts) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5""")
+@query(f"""{_D}, p AS (SELECT doc_id, unnest(ts) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY 1""")
 def fts_index_stats(spark, d):
     """FTS-01, TRN-12: the inverted index's statistics; terms are counted inside a document first."""
-    p = table(spark, d, "documents").select("doc_id", F.explode(S.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
-
-
-@query(ORACLES["fts_index_stats"].replace(" HAVING count(DISTINCT doc_id) >= 5", ""))
-def fts_index_stats_all(spark, d):
-    """FTS-01, TRN-12 with every term, however rare."""
-    p = table(spark, d, "documents").select("doc_id", F.explode(S.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return S.index_stats(table(spark, d, "documents"), "text")
 
 
 @query(f"""SELECT v.vec_id, round({_COS}, 6) AS sim FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE v.label <> 0 ORDER BY round(1 - {_COS}, 12), v.vec_id LIMIT 20""")
@@ -59,12 +50,8 @@ def vec_topk(spark, d):
 @query(f"""SELECT q.vec_id AS seed, v.vec_id, round({_COS}, 6) AS sim FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 10) DESC, v.vec_id) <= 12""")
 def similar_items(spark, d):
     """VEC-03, INV-S1: neighbours of the same kind, itself left out; seeds are the vectors whose id 20 divides."""
-    from ..operators.relational import top_per_key
-
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("seed"), F.col("embedding").alias("q"), "label")
-    sim = e.join(q, "label").filter("vec_id <> seed").select("seed", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("s"))
-    return top_per_key(sim.withColumn("o", F.round("s", 10)), ["seed"], 12, F.desc("o"), F.asc("vec_id")).select("seed", "vec_id", F.round("s", 6).alias("sim"))
+    near = S.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", "label", "vec_id % 20 = 0", 12)
+    return near.select("seed", "vec_id", F.round("sim", 6).alias("sim"))
 
 
 @query(f"""{_D}, {_KW}, {_VEC} SELECT coalesce(kw.doc_id, vec.doc_id) AS doc_id, kw_rank, vec_rank, round(coalesce(1.0 / (60 + kw_rank), 0) + coalesce(1.0 / (60 + vec_rank), 0), 8) AS score FROM kw FULL JOIN vec ON kw.doc_id = vec.doc_id ORDER BY coalesce(1.0 / (60 + kw_rank), 0) + coalesce(1.0 / (60 + vec_rank), 0) DESC, 1 LIMIT 30""")

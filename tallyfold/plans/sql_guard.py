@@ -31,7 +31,7 @@ FUNCTIONS = frozenset(
 #: Plan nodes of a query; whatever else a statement parses to is refused.
 NODES = frozenset(
     """Project Filter Aggregate Sort GlobalLimit LocalLimit LimitAll Offset Distinct Union Intersect Except Join SubqueryAlias OneRowRelation UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedInlineTable
-    WithWindowDefinition UnresolvedSubqueryColumnAliases UnresolvedOrdinal Pivot Unpivot Generate LateralJoin Tail""".split()
+    WithWindowDefinition UnresolvedSubqueryColumnAliases UnresolvedOrdinal Pivot Unpivot Generate LateralJoin LocalRelation""".split()
 )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relational as R
+from ..operators.durable import Tables, durable
+from ..operators.quantiles import quantiles
 from ..operators.similarity import rare_tokens, set_similarity_join
 from ..sources.standin import cte, rel
 from . import filings
@@ -74,32 +76,38 @@ ptok AS (SELECT f, cn, len(g) AS n, unnest(g) AS tok FROM (SELECT f, cn, {_TRI.f
 
 def seen(spark, d):
     """TRN-06..11: a year's recipients, earlier lists, and the recipients that neither name nor organisation shows before."""
-    r = rows(spark, d)
+    tables = Tables(spark, "turnover")  # each is read several times
+    r = tables.save(rows(spark, d))
     tg = targets(r).filter("left_out is null").select("f", "fy")
     named = r.filter("not unnamed and not indiv")
     cur = named.join(tg, ["f", "fy"], "left_semi").groupBy("f", "fy", "cn", "sq", "rorg").agg(F.sum("amount").alias("amount"))
-    prior = named.join(tg.select("f").distinct(), "f", "left_semi").select("f", F.col("fy").alias("p_fy"), "cn", "sq", "rorg").distinct()
+    cur, prior = tables.save(cur), tables.save(named.join(tg.select("f").distinct(), "f", "left_semi").select("f", F.col("fy").alias("p_fy"), "cn", "sq", "rorg").distinct())
     name = cur.groupBy("f", "fy", "sq").agg(F.coalesce(F.concat(F.lit("o:"), F.min("rorg").cast("string")), F.concat(F.lit("n:"), F.first("sq"))).alias("ukey"), F.sum("amount").alias("amount"))
     before = (F.col("p_fy") >= F.col("fy") - WINDOW) & (F.col("p_fy") < F.col("fy"))
     by_name = name.join(prior.select("f", "sq", "p_fy").distinct(), ["f", "sq"]).filter(before).select("f", "fy", "sq").distinct()
     by_org = cur.filter("rorg is not null").join(prior.filter("rorg is not null").select("f", "rorg", "p_fy").distinct(), ["f", "rorg"]).filter(before).select("f", "fy", "sq").distinct()
-    shown = by_name.unionByName(by_org).distinct()
+    shown = tables.save(by_name.unionByName(by_org).distinct())
     useen = name.join(shown, ["f", "fy", "sq"], "left_semi").select("f", "fy", "ukey").distinct()
     fresh = name.join(useen, ["f", "fy", "ukey"], "left_anti")
-    cand = cur.select("f", "fy", "cn", "sq").distinct().join(fresh.select("f", "fy", "sq"), ["f", "fy", "sq"], "left_semi")
+    cand = tables.save(cur.select("f", "fy", "cn", "sq").distinct().join(fresh.select("f", "fy", "sq"), ["f", "fy", "sq"], "left_semi"))
     return r, cur, prior, name, shown, cand
 
 
 @query(cte(*_OF) + _SEEN + """, df AS (SELECT f, tok, count(*) AS df FROM ptok GROUP BY 1, 2), rk AS (SELECT c.*, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY c.f, c.cn ORDER BY coalesce(df, 0), c.tok) AS rk FROM ctok c LEFT JOIN df ON df.f = c.f AND df.tok = c.tok)
-SELECT f, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS comparisons, sum(df) > 2000 AS over FROM rk WHERE rk <= n // 5 + 1 AND df > 0 GROUP BY 1""")
+SELECT f, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS comparisons, sum(df) > 20000 AS over FROM rk WHERE rk <= n // 5 + 1 AND df > 0 GROUP BY 1""")
 def turnover_budget(spark, d):
-    """TRN-12, TRN-13, TRN-14, WIN-08, AGG-04: comparisons that a funder's similar names would need, known before any is made (here against a budget of 2,000)."""
+    """TRN-12, TRN-13, TRN-14, WIN-08, AGG-04: comparisons that a funder's similar names would need, known before any is made (here against a budget of 20,000)."""
     _, _, prior, _, _, cand = seen(spark, d)
-    return budget(prior, cand, 2000)
+    return budget(prior, cand, 20_000)
 
 
 def budget(prior, cand, most: int = COMPARISONS):
-    k = rare_tokens(cand.select("f", "cn").distinct().withColumn("g", T.trigrams(F.col("cn"))), prior.select("f", "cn").distinct().withColumn("g", T.trigrams(F.col("cn"))), "cn", "g", ["f"], (4, 5))
+    grams = lambda df: df.select("f", "cn").distinct().withColumn("g", T.trigrams(F.col("cn")))
+    return needed(grams(cand), grams(prior), most)
+
+
+def needed(mine, theirs, most: int):
+    k = rare_tokens(mine, theirs, "cn", "g", ["f"], (4, 5))
     return k.filter("_df > 0").groupBy("f").agg(F.count("*").alias("tokens"), F.sum("_df").alias("comparisons"), (F.sum("_df") > most).alias("over"))
 
 
@@ -113,8 +121,10 @@ CASE WHEN count(*) FILTER (NOT exact AND NOT alike) = 0 THEN 0 ELSE CAST(sum(uni
 
 def final(spark, d, most: int = COMPARISONS):
     r, cur, prior, name, shown, cand = seen(spark, d)
-    grams = lambda df: df.select("f", "cn").distinct().withColumn("g", T.trigrams(F.col("cn")))
-    near = set_similarity_join(grams(cand), grams(prior), "cn", "g", ["f"], (4, 5)).select("f", "cn", F.col("cn_right").alias("pcn"))
+    tables = Tables(spark, "grams")
+    grams = lambda df: tables.save(df.select("f", "cn").distinct().withColumn("g", T.trigrams(F.col("cn"))))
+    mine, theirs = grams(cand), grams(prior)
+    near = set_similarity_join(mine, theirs, "cn", "g", ["f"], (4, 5)).select("f", "cn", F.col("cn_right").alias("pcn"))
     by_year = prior.select("f", F.col("cn").alias("pcn"), "p_fy").distinct()
     similar = cand.join(near, ["f", "cn"]).join(by_year, ["f", "pcn"]).filter((F.col("p_fy") >= F.col("fy") - WINDOW) & (F.col("p_fy") < F.col("fy"))).select("f", "fy", "sq").distinct()
     flag = lambda df, c: df.withColumn(c, F.lit(True))
@@ -123,7 +133,7 @@ def final(spark, d, most: int = COMPARISONS):
     sums = unit.groupBy("f", "fy").agg(F.count("*").alias("n_recipients"), F.count_if(new).alias("n_new"), F.count_if(~F.col("exact") & F.col("similar")).alias("n_seen_similar"), F.sum(F.when(new, F.col("amount"))).cast("double").alias("amount_new"))
     seal = R.latest_per_key(r.filter("tax_period is not null").select("f", "fy", "oid", "tax_period").distinct(), ["f", "fy"], F.desc("tax_period"), F.desc("oid")).select("f", "fy", F.col("oid").alias("object_id"))
     tg = targets(r).filter("left_out is null")
-    over = budget(prior, cand, most).filter("over").select("f")
+    over = needed(mine, theirs, most).filter("over").select("f")
     out = tg.join(sums, ["f", "fy"]).join(seal, ["f", "fy"], "left").join(over, "f", "left_anti")
     return out.select("f", "fy", "n_recipients", "n_new", "n_seen_similar", "n_rows", "n_unnamed", "window_unnamed", F.col("amount_named").cast("double").alias("amount_total"), F.when(F.col("n_new") == 0, F.lit(0.0)).otherwise(F.col("amount_new")).alias("amount_new"), "object_id")
 
@@ -147,4 +157,6 @@ def turnover_report(spark, d):
     h = filings.mart_application_posture(spark, d).select(F.col("org_id").alias("f"), "posture")
     t = final(spark, d).join(h, "f", "left").withColumn("posture", F.coalesce("posture", F.lit("no posture row")))
     pct = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 4)
-    return t.groupBy("fy", "posture").agg(F.count("*").alias("foundations"), pct(F.col("n_new") == 0).alias("pct_none"), pct(F.col("n_new") >= 3).alias("pct_three"), F.round(F.median(F.col("n_new") / F.col("n_recipients")), 6).alias("median_share"))
+    t = durable(t.select("fy", "posture", "n_new", (F.col("n_new") / F.col("n_recipients")).alias("share")))
+    n = t.groupBy("fy", "posture").agg(F.count("*").alias("foundations"), pct(F.col("n_new") == 0).alias("pct_none"), pct(F.col("n_new") >= 3).alias("pct_three"))
+    return n.join(quantiles(t, ["fy", "posture"], "share", {"median_share": ("cont", 0.5)}), ["fy", "posture"]).withColumn("median_share", F.round("median_share", 6))

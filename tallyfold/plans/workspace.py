@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.quantiles import quantiles
 from ..sources.tables import GRANTS_SQL as G
 from ..sources.tables import grants, table
-from .registry import ORACLES, query
+from .registry import query
 
-AS_OF = "2024-03-01"
+AS_OF = "2024-02-14"
 
 
 def _momentum(spark, d, as_of):
@@ -20,31 +21,27 @@ def _momentum(spark, d, as_of):
     )
 
 
-@query("""SELECT event_type, count(*) AS n_all, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-03-01' - 30) AS n_30, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-03-01' - 60 AND CAST(ts AS DATE) <= DATE '2024-03-01' - 30) AS n_prev, round(sum(CAST(value AS DECIMAL(18,4)))::DOUBLE, 4) AS total FROM events GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS n_all, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-02-14' - 30) AS n_30, count(*) FILTER (CAST(ts AS DATE) > DATE '2024-02-14' - 60 AND CAST(ts AS DATE) <= DATE '2024-02-14' - 30) AS n_prev, round(sum(CAST(value AS DECIMAL(18,4)))::DOUBLE, 4) AS total FROM events GROUP BY 1""")
 def ws_momentum(spark, d):
     """WS-10, WS-13, WS-14: counts of windows from a given day, in one pass."""
     return _momentum(spark, d, AS_OF)
 
 
-@query(ORACLES["ws_momentum"].replace(AS_OF, "2024-02-14"))
-def ws_momentum_recent(spark, d):
-    """WS-10, WS-13, WS-14 from a day by which the month of events falls into both windows."""
-    return _momentum(spark, d, "2024-02-14")
-
-
 @query("""WITH g AS (SELECT event_type, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT event_type, count(gap) AS moves, round(quantile_cont(gap, 0.5), 3) AS median_gap FROM g GROUP BY 1""")
 def ws_stage_velocity(spark, d):
     """WS-11: median seconds between moves."""
     sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    g = table(spark, d, "events").withColumn("gap", sec - F.lag(sec).over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return g.groupBy("event_type").agg(F.count("gap").alias("moves"), F.round(F.percentile("gap", 0.5), 3).alias("median_gap"))
+    g = table(spark, d, "events").select("event_type", (sec - F.lag(sec).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("gap"))
+    n = g.groupBy("event_type").agg(F.count("gap").alias("moves"))
+    return n.join(quantiles(g, ["event_type"], "gap", {"median_gap": ("cont", 0.5)}), "event_type", "left").select("event_type", "moves", F.round("median_gap", 3).alias("median_gap"))
 
 
-@query("""WITH s AS (SELECT user_id, max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'cart' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END) AS stage FROM events GROUP BY 1) SELECT r.stage, count(*) FILTER (s.stage >= r.stage) AS reached FROM s, (SELECT unnest(range(1, 5))::INT AS stage) r GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END) AS stage FROM events GROUP BY 1, 2) SELECT r.stage, count(*) FILTER (s.stage >= r.stage) AS reached FROM s, (SELECT unnest(range(1, 5))::INT AS stage) r GROUP BY 1""")
 def ws_funnel(spark, d):
-    """WS-12: who reached a stage reached those before it."""
-    stage = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "cart", 3).when(F.col("event_type") == "purchase", 4).otherwise(0)
-    s = table(spark, d, "events").groupBy("user_id").agg(F.max(stage).alias("stage"))
+    """WS-12: visits (a user's day) that reached a stage reached those before it."""
+    kind = F.col("event_type")
+    stage = F.when(kind == "view", 1).when(kind == "click", 2).when(kind == "signup", 3).when(kind == "purchase", 4).otherwise(0)
+    s = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("date")).agg(F.max(stage).alias("stage"))
     r = s.agg(*[F.count_if(F.col("stage") >= k).alias(str(k)) for k in range(1, 5)])
     return r.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(str(k)).alias("reached")) for k in range(1, 5)])).alias("x")).select("x.stage", "x.reached")
 
@@ -56,17 +53,17 @@ def ws_daily_zero_fill(spark, d):
     return R.zero_fill_days(n, "day", "2024-01-01", "2024-04-30", "n")
 
 
-@query("""SELECT user_id, date_trunc('month', ts)::DATE AS period, count(*) AS used, count(*) > 20 AS over_quota FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id, date_trunc('week', ts)::DATE AS period, count(*) AS used, count(*) > 14 AS over_quota FROM events GROUP BY 1, 2""")
 def ws_quota_period(spark, d):
     """WS-18."""
-    return table(spark, d, "events").groupBy("user_id", F.trunc(F.col("ts").cast("date"), "month").alias("period")).agg(F.count("*").alias("used"), (F.count("*") > 20).alias("over_quota"))
+    return table(spark, d, "events").groupBy("user_id", F.trunc(F.col("ts").cast("date"), "week").alias("period")).agg(F.count("*").alias("used"), (F.count("*") > 14).alias("over_quota"))
 
 
-@query("""WITH b AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 0 WHEN value > 80 THEN 1 WHEN event_type = 'cart' THEN 2 ELSE 3 END AS band FROM events) SELECT user_id, event_id, band FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY band, ts DESC, event_id) AS rn FROM b) WHERE rn = 1""")
+@query("""WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, ts, CASE WHEN event_type = 'purchase' THEN 0 WHEN value > 20 THEN 1 WHEN event_type = 'signup' THEN 2 ELSE 3 END AS band FROM events) SELECT user_id, day, event_id, band FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY band, ts DESC, event_id) AS rn FROM b) WHERE rn = 1""")
 def ws_focus(spark, d):
     """WS-15: the most pressing reason of each subject."""
-    band = F.when(F.col("event_type") == "purchase", 0).when(F.col("value") > 80, 1).when(F.col("event_type") == "cart", 2).otherwise(3)
-    return R.latest_per_key(table(spark, d, "events").withColumn("band", band), ["user_id"], F.asc("band"), F.desc("ts"), F.asc("event_id")).select("user_id", "event_id", "band")
+    band = F.when(F.col("event_type") == "purchase", 0).when(F.col("value") > 20, 1).when(F.col("event_type") == "signup", 2).otherwise(3)
+    return R.latest_per_key(table(spark, d, "events").withColumns({"band": band, "day": F.col("ts").cast("date")}), ["user_id", "day"], F.asc("band"), F.desc("ts"), F.asc("event_id")).select("user_id", "day", "event_id", "band")
 
 
 @query(G + """SELECT check_name, bad FROM (SELECT 'orphan_line' AS check_name, count(*) AS bad FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'negative_amount', count(*) FROM grants WHERE amount < 0 UNION ALL
