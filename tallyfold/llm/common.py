@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +110,16 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000) ->
     return left.join(hot, key).unionByName(cold.join(right, key))
 
 
+def hand_back() -> None:
+    """Gives the memory that a Python worker has freed back to the machine: workers outlive their tasks, and the next stage needs it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hand_back
+
 #: Edits allowed for each 100 characters of a folded item.
 EDIT_PERCENT = 5
 #: Folded items shorter than this have too little text to tell a leak from chance; they match only as a whole.
@@ -188,6 +190,8 @@ def _scanner(held, percent: int):
             rows = [(doc, item, d, end, allowed[item]) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if text for item, d, end in matcher.find(fold_text(text))]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "distance", "end", "n_edits_allowed"])
+        del matcher
+        hand_back()
 
     return run
 
@@ -208,6 +212,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PER
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 yield batch.filter(pa.array([not (t and matcher.find(fold_text(t))) for t in texts], pa.bool_()))
+            del matcher
+            hand_back()
 
         out = out.mapInArrow(run, out.schema)
     return out

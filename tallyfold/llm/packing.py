@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_partitions, tokenizer_file
+from .common import Scratch, hand_back, tokenizer_file
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -173,6 +173,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                             c.append(v)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encode
+        hand_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -274,6 +276,8 @@ def _swept(capacity: int, first: int | None, most: int, item_type: pa.DataType):
             [pa.array(cols[0].astype(np.int32)), pa.array(cols[1].astype(np.int32)), *[pa.array(c) for c in cols[2:7]], pa.array(tie), items],
             names=["kind", "pid", "pos", "units", "size", "sequence_id", "used", "tie", "item"],
         )
+        del out, cols, items, placed, gaps, t, got
+        hand_back()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, join_hot, n_partitions, unused
+from .common import Scratch, hand_back, join_hot, n_partitions, unused
 
 SEED = 42
 SHINGLE = 3
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             fp = np.array([fingerprint(t, shingle) if t else 0 for t in texts], dtype=np.uint64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        hand_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, fp long")

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, volume
+from .common import hand_back, n_partitions, volume
 
 U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
@@ -502,6 +502,22 @@ def _apply(method: Method, plan: Plan):
     return fn
 
 
+def _tidy(fn: Callable) -> Callable:
+    """The function, with the memory of a group given back before the next one comes; it takes one table or two."""
+
+    def one(t: pa.Table) -> pa.Table:
+        out = fn(t)
+        hand_back()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        hand_back()
+        return out
+
+    return one if fn.__code__.co_argcount == 1 else two
+
+
 def covered(starts: np.ndarray, win: int) -> np.ndarray:
     """Maximal covered ranges [start, end) of windows that begin at the sorted ``starts``."""
     s = np.unique(starts)
@@ -530,8 +546,8 @@ def repeated_windows(
     ).repartition(n, "batch")
     by_batch = lambda df: df.repartition(n, "batch").groupBy("batch")
     by_bucket = lambda df: df.repartition(plan.buckets, "bucket").groupBy("bucket")
-    anchors = dealt.groupBy("batch").applyInArrow(_anchors(method, plan), DDL["anchors"])
-    shared = by_bucket(anchors).applyInArrow(_shared(plan), DDL["answers"])
-    records = dealt.groupBy("batch").cogroup(by_batch(shared)).applyInArrow(_records(method, plan), DDL["records"])
-    answers = by_bucket(records).applyInArrow(_answers(method, plan), DDL["answers"])
-    return dealt.groupBy("batch").cogroup(by_batch(answers)).applyInArrow(_apply(method, plan), schema)
+    anchors = dealt.groupBy("batch").applyInArrow(_tidy(_anchors(method, plan)), DDL["anchors"])
+    shared = by_bucket(anchors).applyInArrow(_tidy(_shared(plan)), DDL["answers"])
+    records = dealt.groupBy("batch").cogroup(by_batch(shared)).applyInArrow(_tidy(_records(method, plan)), DDL["records"])
+    answers = by_bucket(records).applyInArrow(_tidy(_answers(method, plan)), DDL["answers"])
+    return dealt.groupBy("batch").cogroup(by_batch(answers)).applyInArrow(_tidy(_apply(method, plan)), schema)
