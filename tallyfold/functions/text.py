@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Legal forms at the end of a name that name matching ignores.
@@ -275,3 +275,21 @@ def liveness(status: Column, html: Column) -> Column:
     parked = html.rlike(r"(?i)(?:this )?domain (?:name )?(?:is |may be )?for sale|parked (?:free|domain)|buy this domain")
     body = F.length(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]+>|[ ]+", ""))
     return F.when(status >= 400, "error").when(parked, "parked").when(body < 20, "thin").otherwise("live")
+
+
+def date_evidence(pages: DataFrame, key: str, html: str, as_of: str) -> DataFrame:
+    """``key, kind, month``: the dates by which a page was published or modified, from its meta tags, structured data and visible text."""
+    from .numbers import month_of
+
+    x = F.col(html)
+    meta = F.regexp_extract_all(x, F.lit(r'(?is)<meta [^>]*>'), F.lit(0))
+    name = lambda m: F.lower(F.regexp_extract(m, r'(?i)(?:property|name)\s*=\s*"([^"]*)"', 1))
+    kind_of = lambda m: F.when(name(m).isin("article:modified_time", "date.modified", "datemodified", "last-modified"), "modified").when(name(m).isin("article:published_time", "datepublished", "date.published"), "published")
+    tags = F.transform(F.filter(meta, lambda m: kind_of(m).isNotNull()), lambda m: F.struct(kind_of(m).alias("kind"), F.left(F.regexp_extract(m, r'(?i)content\s*=\s*"([^"]*)"', 1), F.lit(10)).alias("day")))
+    data = F.array_join(F.regexp_extract_all(x, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>.*?</script>'), F.lit(0)), " ")
+    stated = lambda word, kind: F.transform(F.regexp_extract_all(data, F.lit(rf'"{word}"\s*:\s*"(\d{{4}}-\d{{2}}(?:-\d{{2}})?)'), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("day")))
+    plain = F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]+>", " ")
+    shown = F.transform(F.regexp_extract_all(plain, F.lit(r"(?i)(?:last )?(?:updated|modified|revised)(?: on)?:? +(\d{4}-\d{2}(?:-\d{2})?)"), F.lit(1)), lambda v: F.struct(F.lit("modified").alias("kind"), v.alias("day")))
+    found = pages.select(key, F.explode(F.concat(tags, stated("dateModified", "modified"), stated("datePublished", "published"), shown)).alias("e"))
+    month = month_of(F.col("e.day"), F.lit(as_of).cast("date"))
+    return found.select(key, F.col("e.kind").alias("kind"), month.alias("month")).filter("month is not null").distinct()

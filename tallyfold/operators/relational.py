@@ -31,6 +31,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, on, how).select(*[c for c in left.columns], *([] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in keys]))
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join of a written table with ``right``, which has a key once.
+
+    Keys that hold more than 1/``share`` of the left rows are at most ``share``;
+    their right rows are broadcast, so no key gathers in one task.
+    """
+    total = left.count()
+    many = left.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") > total / share) & (F.col("_n") > 1)).select(key)
+    hot = F.broadcast(right.join(F.broadcast(many), key))
+    cold = left.join(F.broadcast(many), key, "left_anti")
+    return left.join(hot, key).unionByName(cold.join(right, key))
+
+
 def single_or_null(value: str) -> Column:
     """The value of a group if it has just one, else null."""
     return F.when(F.count_distinct(value) == 1, F.min(value))

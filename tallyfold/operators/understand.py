@@ -35,7 +35,7 @@ def _without(q: str, a: int, b: int) -> str:
 
 
 def find_place(q: str, cities: dict[str, str] | None = None) -> tuple[str, str | None, str] | None:
-    """(state code, city or None, the rest): a state's name, a known city, or a capital code after ``in``, ``across`` or a comma."""
+    """HYB-10: (state code, city or None, the rest): a state's name, a known city, or a capital code after ``in``, ``across`` or a comma."""
     for name, code in _BY_NAME:
         m = re.search(rf"\b{re.escape(name)}\b", q, re.I)
         if m and not re.match(r"\s+city\b", q[m.end() :], re.I) and not (code == "WA" and re.search(r"\bwashington,?\s*d\.?\s*c\.?", q, re.I)):
@@ -51,7 +51,7 @@ def find_place(q: str, cities: dict[str, str] | None = None) -> tuple[str, str |
 
 
 def is_funder_name(q: str, cities: dict[str, str] | None = None) -> bool:
-    """A few words with a funder's word and no request; a place behind that word makes it a topic."""
+    """HYB-10: A few words with a funder's word and no request; a place behind that word makes it a topic."""
     words = q.split()
     if not words or len(words) > 6 or not _FUNDER.search(q) or _ASKS.search(q):
         return False
@@ -65,13 +65,13 @@ def understand(q: str | None, cities: dict[str, str] | None = None) -> Understan
 
 
 def content_words(topic: str, most: int = 12) -> list[str]:
-    """The words that carry a topic, in order and once each."""
+    """HYB-10: The words that carry a topic, in order and once each."""
     words = (w.strip("'-") for w in re.sub(r"[^a-z0-9\s'-]", " ", topic.lower()).split())
     return list(dict.fromkeys(w for w in words if len(w) >= 3 and w not in GENERIC))[:most]
 
 
 def phrase_query(q: str) -> str:
-    """Several words without operators are one phrase."""
+    """STR-23: Several words without operators are one phrase."""
     t = q.strip()
     return t if re.search(r'["]|(^|\s)OR(\s|$)|(^|\s)-\S', t) or not re.search(r"\s", t) else f'"{t}"'
 
@@ -81,7 +81,7 @@ def normal_name(name: str) -> str:
 
 
 def name_variants(name: str, least: int = 3) -> list[str]:
-    """The name, and its spelling without apostrophes where that differs."""
+    """STR-23: The name, and its spelling without apostrophes where that differs."""
     bare = re.sub("['’]", "", name)
     return [name, bare] if bare != name and len(bare.strip()) >= least else [name]
 
@@ -92,7 +92,7 @@ def name_tokens(normal: str, generic=frozenset({"THE", "FOUNDATION", "FUND", "TR
 
 
 def resolve_context(url: dict, understood: Understanding, profile: dict) -> dict:
-    """Place, cause and budget: what the address says before what the words say before what the profile says; and where each came from."""
+    """HYB-11: Place, cause and budget: what the address says before what the words say before what the profile says; and where each came from."""
     out = {}
     for key, said in (("state", understood.state), ("cause", None), ("budget", None)):
         for source, value in (("url", url.get(key)), ("query", said), ("profile", profile.get(key))):
@@ -103,7 +103,7 @@ def resolve_context(url: dict, understood: Understanding, profile: dict) -> dict
 
 
 def choose_mode(q: str | None, understood: Understanding, asked: str | None = None) -> tuple[str, list[str]]:
-    """(mode, notices): a number, a name, a topic, or browsing without words."""
+    """HYB-09: (mode, notices): a number, a name, a topic, or browsing without words."""
     digits = re.sub(r"\D", "", q or "")
     if asked in ("name", "topic", "browse", "ein"):
         return asked, []
@@ -115,7 +115,7 @@ def choose_mode(q: str | None, understood: Understanding, asked: str | None = No
 
 
 def next_mode(mode: str, found: int, timed_out: bool = False) -> str | None:
-    """Where a search goes on that found nothing or took too long; None where it ends."""
+    """HYB-12: Where a search goes on that found nothing or took too long; None where it ends."""
     if mode == "name" and not found:
         return "topic"
     if mode == "topic" and timed_out:
@@ -124,7 +124,7 @@ def next_mode(mode: str, found: int, timed_out: bool = False) -> str | None:
 
 
 def filter_to_params(current: dict, change: dict, known=("state", "min_assets", "posture", "sort", "cause", "gives_in")) -> dict:
-    """Search parameters with a filter applied: None takes a parameter away, unknown ones and a page number go."""
+    """WS-27: Search parameters with a filter applied: None takes a parameter away, unknown ones and a page number go."""
     out = {k: v for k, v in current.items() if k != "page"}
     for k, v in change.items():
         if k in known:

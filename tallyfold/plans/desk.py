@@ -238,3 +238,13 @@ def eval_lists(spark, d):
     j = a.join(b, ["q", "item"], "full_outer")
     both = F.count_if(F.col("l") & F.col("r"))
     return j.groupBy("q").agg(both.alias("shared"), F.round(both / F.count("*"), 8).alias("jaccard"), F.round(F.count_if(F.col("l") & (F.col("item") % 2 == 0)) / 10.0, 4).alias("topic_rate"))
+
+
+@query("""SELECT page_id, kind, CAST(month AS DATE) AS month FROM (SELECT page_id, 'modified' AS kind, DATE '2023-04-01' AS month FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'published', DATE '2022-11-01' FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'modified', DATE '2021-02-01' FROM pages WHERE page_id % 4 = 2)""")
+def txt_date_evidence(spark, d):
+    """TXT-04, DT-06: dates that a page states of itself, in its head, its structured data or its text; those of months to come are none."""
+    k = F.col("page_id")
+    extra = F.when(k % 4 == 0, '<meta property="article:modified_time" content="2023-04-09T00:00:00Z">').when(k % 4 == 1, '<script type="application/ld+json">{"@type": "Article", "datePublished": "2022-11-30"}</script>')
+    extra = extra.when(k % 4 == 2, "<p>Last updated: 2021-02-03</p>").otherwise('<meta name="last-modified" content="2030-01-01">')
+    p = table(spark, d, "pages").select("page_id", F.concat("html", extra).alias("html"))
+    return T.date_evidence(p, "page_id", "html", "2024-03-01")

@@ -325,11 +325,11 @@ def contact_audit(spark, d):
     return out
 
 
-@query(cte("funding_events", "organizations") + "SELECT org_id, CASE WHEN org_type = 'public_charity' AND org_id IN (SELECT funder_org_id FROM funding_events WHERE event_type = 'grant' AND fy >= 1999) THEN 'private_foundation' ELSE org_type END AS org_type FROM organizations WHERE org_id < 1000000")
+@query(cte("funding_events", "organizations") + "SELECT org_id, CASE WHEN org_type = 'public_charity' AND org_id IN (SELECT funder_org_id FROM funding_events WHERE event_type = 'grant' AND amount > 104900) THEN 'private_foundation' ELSE org_type END AS org_type FROM organizations WHERE org_id < 1000000")
 def drv_never_demote(spark, d):
     """DRV-06: a registry type does not take the type from an organisation that gave grants."""
     o = rel(spark, d, "organizations").filter("org_id < 1000000")
-    g = rel(spark, d, "funding_events").filter("event_type = 'grant' and fy >= 1999").select(F.col("funder_org_id").alias("org_id")).distinct().withColumn("gave", F.lit(True))
+    g = rel(spark, d, "funding_events").filter("event_type = 'grant' and amount > 104900").select(F.col("funder_org_id").alias("org_id")).distinct().withColumn("gave", F.lit(True))
     return o.join(g, "org_id", "left").select("org_id", F.when((F.col("org_type") == "public_charity") & F.col("gave"), "private_foundation").otherwise(F.col("org_type")).alias("org_type"))
 
 
@@ -381,3 +381,33 @@ def dq_invariants(spark, d):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query(cte("filings", "filing_financials", "organizations") + f""", {_LIVE}, a AS (SELECT lf.org_id, lf.object_id, tax_period, parsed, CASE WHEN org_id % 5 = 0 THEN 'Canada' ELSE 'US' END AS country, CASE WHEN org_id % 6 = 0 THEN NULL WHEN org_id % 7 = 0 THEN 'Atlantis' ELSE 'Texas' END AS state, 'oslo ' || org_id % 3 AS city, CASE WHEN fy % 2 = 0 THEN '123456789' ELSE '1234' END AS zip FROM lf WHERE superseded_by IS NULL),
+n AS (SELECT DISTINCT ON (org_id) org_id, object_id FROM a ORDER BY org_id, tax_period DESC, object_id DESC), p AS (SELECT DISTINCT ON (org_id) * FROM a WHERE parsed ORDER BY org_id, tax_period DESC, object_id DESC)
+SELECT o.org_id, CASE WHEN p.org_id IS NULL THEN 'no_return' WHEN country <> 'US' THEN 'foreign' WHEN p.state IS NULL THEN 'no_state' WHEN p.state = 'Atlantis' THEN 'bad_state' ELSE 'ok' END AS reason, CASE WHEN country = 'US' AND p.state = 'Texas' THEN 'TX' END AS state, CASE WHEN country = 'US' AND p.state = 'Texas' THEN upper(p.city) END AS city, CASE WHEN country = 'US' AND p.state = 'Texas' AND length(p.zip) = 9 THEN '12345-6789' END AS zip, coalesce(n.object_id <> p.object_id, false) AS newer_unread
+FROM organizations o LEFT JOIN p ON p.org_id = o.org_id LEFT JOIN n ON n.org_id = o.org_id WHERE o.org_id < 1000000""")
+def drv_org_address(spark, d):
+    """DRV-03, JN-09, STR-08, STR-10: the address of the newest parsed return, or why there is none; the street is never taken."""
+    k = F.col("org_id")
+    f = live(spark, d).filter("superseded_by is null").select("org_id", "object_id", "tax_period", "parsed", F.when(k % 5 == 0, "Canada").otherwise("US").alias("country"), F.when(k % 6 == 0, None).when(k % 7 == 0, "Atlantis").otherwise("Texas").alias("raw_state"), F.concat(F.lit("oslo "), (k % 3).cast("string")).alias("raw_city"), F.when(F.col("fy") % 2 == 0, "123456789").otherwise("1234").alias("raw_zip"))
+    any_ = _newest(f).select("org_id", F.col("object_id").alias("any_id"))
+    j = rel(spark, d, "organizations").filter("org_id < 1000000").select("org_id").join(_newest(f.filter("parsed")), "org_id", "left").join(any_, "org_id", "left")
+    code = T.state_code(F.col("raw_state"))
+    reason = F.when(F.col("object_id").isNull(), "no_return").when(~F.upper(F.trim("country")).isin("US", "USA", ""), "foreign").when(F.col("raw_state").isNull(), "no_state").when(code.isNull(), "bad_state").otherwise("ok")
+    ok = lambda c, n: F.when(reason == "ok", c).alias(n)
+    return j.select("org_id", reason.alias("reason"), ok(code, "state"), ok(F.upper("raw_city"), "city"), ok(T.zip_code(F.col("raw_zip")), "zip"), F.coalesce(F.col("any_id") != F.col("object_id"), F.lit(False)).alias("newer_unread"))
+
+
+@query("""WITH f AS (SELECT l_suppkey AS adviser, CASE l_partkey % 9 WHEN 0 THEN 'Venture Capital Fund' WHEN 1 THEN 'Private Equity Fund' ELSE 'Hedge Fund' END AS fund_type, CASE WHEN l_quantity < 45 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS gav FROM lineitem WHERE l_orderkey % 400 = l_suppkey % 400),
+s AS (SELECT adviser, bool_or(fund_type = 'Venture Capital Fund') AS v, bool_or(fund_type = 'Private Equity Fund') AS p, sum(gav) AS gav FROM f GROUP BY 1) SELECT s_suppkey AS adviser, CASE WHEN coalesce(v, false) OR s_suppkey % 17 = 3 THEN 'vc' WHEN p THEN 'pe' ELSE 'investment_adviser' END AS org_type, CAST(gav AS DOUBLE) AS fund_size FROM supplier LEFT JOIN s ON adviser = s_suppkey""")
+def drv_adviser_class(spark, d):
+    """DRV-05: an adviser with a venture fund, or a venture exemption, is venture; else one with a private equity fund is that; sizes add where they are stated."""
+    from ..sources.tables import table
+
+    li = table(spark, d, "lineitem").filter("l_orderkey % 400 = l_suppkey % 400")
+    kind = F.when(F.col("l_partkey") % 9 == 0, "Venture Capital Fund").when(F.col("l_partkey") % 9 == 1, "Private Equity Fund").otherwise("Hedge Fund")
+    f = li.select(F.col("l_suppkey").alias("adviser"), kind.alias("fund_type"), F.when(F.col("l_quantity") < 45, F.col("l_extendedprice").cast("decimal(18,2)")).alias("gav"))
+    s = f.groupBy("adviser").agg(F.bool_or(F.col("fund_type") == "Venture Capital Fund").alias("v"), F.bool_or(F.col("fund_type") == "Private Equity Fund").alias("p"), F.sum("gav").cast("double").alias("fund_size"))
+    j = table(spark, d, "supplier").select(F.col("s_suppkey").alias("adviser")).join(s, "adviser", "left")
+    return j.select("adviser", F.when(F.coalesce("v", F.lit(False)) | (F.col("adviser") % 17 == 3), "vc").when(F.col("p"), "pe").otherwise("investment_adviser").alias("org_type"), "fund_size")

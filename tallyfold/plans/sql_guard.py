@@ -53,7 +53,7 @@ class Guard:
             raise ValueError("a guard needs the functions that it lets through")
 
     def check(self, spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
-        """(relations, functions) of a statement that passes; raises :class:`Refused` otherwise.
+        """SQL-01..04: (relations, functions) of a statement that passes; raises :class:`Refused` otherwise.
 
         Spark's own parser reads the text, so strings, comments and quoting
         need no rules of ours; the unresolved plan is then walked.
@@ -113,7 +113,7 @@ class Guard:
         return spark.sql(sql).limit(self.row_cap)
 
     def rows(self, spark: SparkSession, sql: str, seconds: float = SECONDS) -> list:
-        """The statement's rows, at most ``row_cap``; its jobs are cancelled after ``seconds``."""
+        """SQL-05, SRT-07: The statement's rows, at most ``row_cap``; its jobs are cancelled after ``seconds``."""
         df = self.run(spark, sql)
         sc, group, late = spark.sparkContext, f"guard-{uuid.uuid4().hex}", threading.Event()
 
@@ -136,7 +136,7 @@ class Guard:
 
 
 def plain(value):
-    """A result's value as JSON can hold it."""
+    """SQL-06: A result's value as JSON can hold it."""
     if isinstance(value, decimal.Decimal):
         return int(value) if value == value.to_integral_value() else float(value)
     if isinstance(value, (datetime.date, datetime.datetime)):
@@ -147,7 +147,7 @@ def plain(value):
 
 
 def text_table(columns: list[str], rows: list, most: int = 60) -> str:
-    """The first rows as lines of cells, and how many there are in all."""
+    """SQL-06: The first rows as lines of cells, and how many there are in all."""
     cell = lambda v: "" if v is None else str(plain(v)).replace("|", "/").replace("\n", " ")
     lines = [" | ".join(columns), *[" | ".join(map(cell, r)) for r in rows[:most]]]
     return "\n".join([*lines, f"({len(rows)} rows)" if len(rows) <= most else f"(first {most} of {len(rows)} rows)"])

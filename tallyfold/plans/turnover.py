@@ -94,11 +94,11 @@ def seen(spark, d):
 
 
 @query(cte(*_OF) + _SEEN + """, df AS (SELECT f, tok, count(*) AS df FROM ptok GROUP BY 1, 2), rk AS (SELECT c.*, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY c.f, c.cn ORDER BY coalesce(df, 0), c.tok) AS rk FROM ctok c LEFT JOIN df ON df.f = c.f AND df.tok = c.tok)
-SELECT f, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS comparisons, sum(df) > 20000 AS over FROM rk WHERE rk <= n // 5 + 1 AND df > 0 GROUP BY 1""")
+SELECT f, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS comparisons, sum(df) > 8600 AS over FROM rk WHERE rk <= n // 5 + 1 AND df > 0 GROUP BY 1""")
 def turnover_budget(spark, d):
-    """TRN-12, TRN-13, TRN-14, WIN-08, AGG-04: comparisons that a funder's similar names would need, known before any is made (here against a budget of 20,000)."""
+    """TRN-12, TRN-13, TRN-14, WIN-08, AGG-04: comparisons that a funder's similar names would need, known before any is made (here against a budget of 8,600)."""
     _, _, prior, _, _, cand = seen(spark, d)
-    return budget(prior, cand, 20_000)
+    return budget(prior, cand, 8_600)
 
 
 def budget(prior, cand, most: int = COMPARISONS):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 def count_records(chunk: bytes, in_quotes: bool = False) -> tuple[int, bool]:
-    """(records that end in the chunk, whether it ends inside quotes): a doubled quote toggles twice."""
+    """STR-25: (records that end in the chunk, whether it ends inside quotes): a doubled quote toggles twice."""
     n = 0
     for i, part in enumerate(chunk.split(b'"')):
         if i:
@@ -32,7 +32,7 @@ def _cell(v) -> str:
 
 
 def write_csv_gz(df: DataFrame, order: list[str], dest: Path) -> dict:
-    """A sorted table as one gzip file whose bytes depend on the rows alone; its name, size, rows and hashes.
+    """SNK-08: A sorted table as one gzip file whose bytes depend on the rows alone; its name, size, rows and hashes.
 
     Rows come to the driver partition by partition, in the order of a range sort.
     """
@@ -65,7 +65,7 @@ def write_csv_gz(df: DataFrame, order: list[str], dest: Path) -> dict:
 
 
 def write_shards(df: DataFrame, by: str, path: str) -> None:
-    """A folder for each value of ``by``; rows without one go to ``by=null``."""
+    """SNK-09: A folder for each value of ``by``; rows without one go to ``by=null``."""
     df.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit("null"))).repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
@@ -75,7 +75,7 @@ def read_shards(spark: SparkSession, by: str, path: str, kind: str) -> DataFrame
 
 
 def replace_slices(df: DataFrame, by: list[str], path: str) -> None:
-    """Replaces the slices that the rows belong to and leaves the others: delete and insert in one."""
+    """SNK-07: Replaces the slices that the rows belong to and leaves the others: delete and insert in one."""
     spark = df.sparkSession
     was = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -91,7 +91,7 @@ def vintage(at: datetime) -> str:
 
 
 def publish(work: Path, final: Path, manifest: dict) -> Path:
-    """The manifest comes last, then the folder gets its name, then ``LATEST`` points to it: no reader sees a part."""
+    """SNK-10: The manifest comes last, then the folder gets its name, then ``LATEST`` points to it: no reader sees a part."""
     if final.exists():
         raise FileExistsError(str(final))
     (work / "manifest.json").write_text(json.dumps(manifest, indent=2, sort_keys=True) + "\n")
@@ -103,7 +103,7 @@ def publish(work: Path, final: Path, manifest: dict) -> Path:
 
 
 class Ledger:
-    """Runs as rows that are only added: started, completed with counts, or failed with a reason."""
+    """SNK-12, STM-04: Runs as rows that are only added: started, completed with counts, or failed with a reason."""
 
     SCHEMA = "run string, dataset string, status string, at timestamp, rows long, note string"
 
@@ -151,7 +151,7 @@ def refresh_order(needs: dict[str, tuple[str, ...]]) -> list[str]:
 
 
 def refresh(spark: SparkSession, folder: str, label: str, marts: dict[str, Callable], needs: dict[str, tuple[str, ...]], sf_dir: str) -> dict[str, int]:
-    """Writes marts of one snapshot in order under ``folder/label``; a mart reads those before it from there, so pairs never mix snapshots."""
+    """MART-13, SRC-17: Writes marts of one snapshot in order under ``folder/label``; a mart reads those before it from there, so pairs never mix snapshots."""
     counts = {}
     for name in refresh_order({n: needs.get(n, ()) for n in marts}):
         path = f"{folder}/{label}/{name}"
@@ -166,7 +166,7 @@ def staged_name(body: bytes, name: str) -> str:
 
 
 def stage(body: bytes, name: str, folder: Path, expected: str | None = None) -> tuple[Path, str]:
-    """(path, 'new', 'same' or 'quarantined'): content under its hash; content of another hash than expected is set aside."""
+    """SRC-21: (path, 'new', 'same' or 'quarantined'): content under its hash; content of another hash than expected is set aside."""
     digest = hashlib.sha256(body).hexdigest()
     if expected and digest != expected:
         dest = folder / "quarantine" / staged_name(body, name)
@@ -182,7 +182,7 @@ def stage(body: bytes, name: str, folder: Path, expected: str | None = None) ->
 
 
 def relations_read(spark: SparkSession, sql: str) -> set[str]:
-    """Names of the relations that a query reads, by its parsed plan."""
+    """DQ-03, SRC-20: Names of the relations that a query reads, by its parsed plan."""
     from ..plans.sql_guard import Guard
 
     rel, fun, ctes, nodes = set(), set(), set(), []
@@ -191,7 +191,7 @@ def relations_read(spark: SparkSession, sql: str) -> set[str]:
 
 
 def export_faults(spark: SparkSession, queries: dict[str, str], allowed: set[str], hidden: set[str]) -> list[str]:
-    """What exports may not do: read relations beyond the allowed ones, or give a hidden column."""
+    """DQ-03, INV-X4: What exports may not do: read relations beyond the allowed ones, or give a hidden column."""
     out = []
     for name, sql in queries.items():
         out += [f"{name} reads {r}" for r in sorted(relations_read(spark, sql) - allowed)]
@@ -200,6 +200,6 @@ def export_faults(spark: SparkSession, queries: dict[str, str], allowed: set[str
 
 
 def snapshot_of(row: DataFrame, entity: DataFrame, key: str, columns: list[str], alias: str = "snapshot") -> DataFrame:
-    """Rows with what the entity that they name looked like, so that nothing dangles when it goes."""
+    """SNK-13: Rows with what the entity that they name looked like, so that nothing dangles when it goes."""
     e = entity.select(key, F.struct(*columns).alias(alias))
     return row.join(e, key, "left")

@@ -24,7 +24,7 @@ class LayoutError(ValueError):
 
 
 def aliased(df: DataFrame, aliases: dict[str, tuple[str, ...]], required: tuple[str, ...] = ()) -> DataFrame:
-    """The columns by their own names, from the first header that is there; a missing one is null, a missing required one an error."""
+    """SRC-01: The columns by their own names, from the first header that is there; a missing one is null, a missing required one an error."""
     have = {c.upper().strip(): c for c in df.columns}
     found = {k: next((have[a.upper()] for a in names if a.upper() in have), None) for k, names in aliases.items()}
     if missing := [k for k in required if found[k] is None]:
@@ -37,7 +37,7 @@ def csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def registry(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
-    """Organisations of a registry file: private foundations, or with ``every`` all, the others as public charities."""
+    """SRC-01: Organisations of a registry file: private foundations, or with ``every`` all, the others as public charities."""
     r = aliased(csv(spark, path), REGISTRY, ("ein", "name", "foundation"))
     code = F.lpad("foundation", 2, "0")
     out = r.select(
@@ -48,7 +48,7 @@ def registry(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """The spine of an index file: one row for each return's id, of the two forms that are read."""
+    """SRC-02: The spine of an index file: one row for each return's id, of the two forms that are read."""
     names = {c: (c.upper(),) for c in ("object_id", "ein", "return_type", "tax_period", "taxpayer_name", "dln", "sub_date", "xml_batch_id")}
     r = aliased(csv(spark, path), names, ("object_id", "ein"))
     form = F.regexp_replace(F.upper("return_type"), "[^0-9A-Z]", "")
@@ -57,7 +57,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def awards(spark: SparkSession, path: str) -> DataFrame:
-    """Awards with a key over what tells one from another; equal rows are one award."""
+    """SRC-11, HSH-01: Awards with a key over what tells one from another; equal rows are one award."""
     names = {"company": ("COMPANY", "COMPANY NAME"), "agency": ("AGENCY",), "title": ("AWARD TITLE", "TITLE"), "contract": ("CONTRACT", "AGENCY TRACKING NUMBER"), "year": ("AWARD YEAR", "YEAR"), "amount": ("AWARD AMOUNT", "AMOUNT")}
     a = aliased(csv(spark, path), names, ("company",))
     key = F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("agency", "contract", "company", "title", "year", "amount")]).cast("binary"), 256)
@@ -83,7 +83,7 @@ def _rejected(rows: DataFrame, reason) -> DataFrame:
 
 
 def revocations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(ein, revocation, name, kind, posting and reinstatement dates of loadable rows; lines left out, by reason)."""
+    """SRC-12: (ein, revocation, name, kind, posting and reinstatement dates of loadable rows; lines left out, by reason)."""
     import re
 
     rows, out = _pipe(spark, path, 12, lambda f: re.fullmatch(r"\d{1,2}-[A-Za-z]{3}-\d{4}", f[9].strip()))
@@ -98,7 +98,7 @@ def revocations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def deductible(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(ein and its codes of loadable rows; lines left out, by reason)."""
+    """SRC-12: (ein and its codes of loadable rows; lines left out, by reason)."""
     rows, out = _pipe(spark, path, 6, lambda f: f[5].strip())
     codes = F.filter(F.transform(F.split(F.get("f", F.lit(5)), ","), lambda c: F.upper(F.trim(c))), lambda c: c != "")
     r = rows.select(F.trim(F.get("f", F.lit(0))).alias("ein"), codes.alias("codes"))
@@ -110,20 +110,20 @@ def deductible(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def firms(spark: SparkSession, path: str) -> DataFrame:
-    """Advisers of a firm file, the first record of each number."""
+    """SRC-08: Advisers of a firm file, the first record of each number."""
     df = spark.read.format("xml").option("rowTag", "Firm").schema("Info struct<_FirmCrdNb:string,_BusNm:string>, MainAddr struct<_State:string>, FormInfo struct<Part1A:struct<Item5F:struct<_Q5F2C:string>>>").load(path)
     f = df.select(T.crd(F.col("Info._FirmCrdNb")).alias("crd"), F.col("Info._BusNm").alias("name"), T.state_code(F.col("MainAddr._State")).alias("state"), T.amount(F.col("FormInfo.Part1A.Item5F._Q5F2C")).alias("aum")).filter("crd is not null")
     return R.latest_per_key(f, ["crd"], F.asc("name"), F.desc_nulls_last("aum"))
 
 
 def latest_filing_rows(base: DataFrame, detail: DataFrame, key: str = "crd", filing: str = "filing_id", day: str = "filed_on") -> DataFrame:
-    """Detail rows of each key's latest filing: the winners are found on the slim table first, then the details are read against them."""
+    """SRC-09: Detail rows of each key's latest filing: the winners are found on the slim table first, then the details are read against them."""
     win = R.latest_per_key(base.select(key, filing, day), [key], F.desc(day), F.desc(filing)).select(key, filing)
     return detail.join(win, filing, "left_semi" if key in detail.columns else "inner")
 
 
 def offerings(spark: SparkSession, folder: str) -> DataFrame:
-    """Offerings of a quarter: submissions, issuers and terms by their accession number; an amendment takes its predecessor's place."""
+    """SRC-10, DRV-07: Offerings of a quarter: submissions, issuers and terms by their accession number; an amendment takes its predecessor's place."""
     read = lambda n: csv(spark, f"{folder}/{n}.tsv", "\t")
     s, i, o = read("FORMDSUBMISSION"), read("ISSUERS"), read("OFFERING")
     j = s.join(i.filter("upper(IS_PRIMARYISSUER_FLAG) = 'YES'"), "ACCESSIONNUMBER").join(o, "ACCESSIONNUMBER", "left")
@@ -137,7 +137,7 @@ IMPORT_HEADERS = ((r"(?i)^(ein|tax\s*id|fein|employer\s*id)", "ein"), (r"(?i)^(o
 
 
 def guess_columns(headers: list[str]) -> dict[str, str]:
-    """Field -> header for an imported table."""
+    """SRC-18: Field -> header for an imported table."""
     import re
 
     out: dict[str, str] = {}
@@ -149,7 +149,7 @@ def guess_columns(headers: list[str]) -> dict[str, str]:
 
 
 def imported(df: DataFrame) -> DataFrame:
-    """Rows of a user's table with a number and a name, either of which may be missing."""
+    """SRC-18: Rows of a user's table with a number and a name, either of which may be missing."""
     found = guess_columns(df.columns)
     c = lambda k: F.nullif(F.trim(F.col(f"`{found[k]}`")), F.lit("")) if k in found else F.lit(None).cast("string")
     ein = T.ein(c("ein"))
@@ -157,7 +157,7 @@ def imported(df: DataFrame) -> DataFrame:
 
 
 def seeds(spark: SparkSession, path: str, lists: tuple[str, ...] = ()) -> DataFrame:
-    """A seed table, its list columns cut at semicolons."""
+    """SRC-13: A seed table, its list columns cut at semicolons."""
     df = csv(spark, path)
     return df.select(*[F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "").alias(c) if c in lists else F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in df.columns])
 
@@ -169,7 +169,7 @@ def keyset_shards(lo: int, hi: int, n: int) -> list[tuple[int, int]]:
 
 
 def read_shards(spark: SparkSession, fetch, lo: int, hi: int, n: int, schema: str, page: int = 1000) -> DataFrame:
-    """Rows of a paged source: ``fetch(after, to, page)`` gives rows of ascending first column; each shard is a task and starts again alone if it is lost."""
+    """SRC-16: Rows of a paged source: ``fetch(after, to, page)`` gives rows of ascending first column; each shard is a task and starts again alone if it is lost."""
 
     def run(frames):
         import pandas as pd

@@ -92,7 +92,7 @@ SCHEMA = _struct({
 
 
 def archived(spark: SparkSession, path: str, wanted: DataFrame | None = None, suffix: str = ".xml") -> DataFrame:
-    """``member, xml`` of the archives under a path, one archive at a time in a task; only the ``wanted`` members (column ``member``) where given.
+    """SRC-03: ``member, xml`` of the archives under a path, one archive at a time in a task; only the ``wanted`` members (column ``member``) where given.
 
     A member that can't be read is a row with a null ``xml``, so it is seen and not lost.
     """
@@ -132,7 +132,7 @@ def _checked(path: str) -> Column:
 
 
 def financials(returns: DataFrame, charity: bool = False) -> DataFrame:
-    """A row a return: every line as a whole number, null where the return has no such line."""
+    """SRC-04, SRC-06: A row a return: every line as a whole number, null where the return has no such line."""
     form, table = ("IRS990", CHARITY_LINES) if charity else ("IRS990PF", FIN_LINES)
     at = lambda g, e: f"r.ReturnData.{form}.{g}.{e}" if g else f"r.ReturnData.{form}.{e}"
     paths = lambda g, e: [at(x, e) for x in (g, OLDER_GROUPS.get(g)) if x or g is None][: 2 if g else 1]
@@ -157,7 +157,7 @@ def _rows(returns: DataFrame, path: str) -> DataFrame:
 
 
 def officers(returns: DataFrame) -> DataFrame:
-    """As filed, corporate trustees among them; a row without a name of either kind is none."""
+    """SRC-04: As filed, corporate trustees among them; a row without a name of either kind is none."""
     g = _rows(returns, "r.ReturnData.IRS990PF.OfficerDirTrstKeyEmplInfoGrp.OfficerDirTrstKeyEmplGrp")
     hours = _text("g.AverageHrsPerWkDevotedToPosRt").try_cast("double")
     business = F.when(_text("g.PersonNm").isNull(), _text("g.BusinessName.BusinessNameLine1Txt", "g.BusinessName.BusinessNameLine1"))
@@ -172,7 +172,7 @@ def people(officers_: DataFrame) -> DataFrame:
 
 
 def grants(returns: DataFrame, future: bool = False) -> DataFrame:
-    """Paid grants, or those approved for the future, each with its key and where in the return it stands."""
+    """SRC-04: Paid grants, or those approved for the future, each with its key and where in the return it stands."""
     group, kind = ("GrantOrContriApprvForFutGrp", "futgrant") if future else ("GrantOrContributionPdDurYrGrp", "grant")
     g = _rows(returns, f"r.ReturnData.IRS990PF.SupplementaryInformationGrp.{group}")
     u, x, n = "g.RecipientUSAddress", "g.RecipientForeignAddress", F.col("seq").cast("string")
@@ -192,7 +192,7 @@ def contributors(returns: DataFrame) -> DataFrame:
 
 
 def application(returns: DataFrame) -> DataFrame:
-    """How to apply, of returns that say anything about it."""
+    """SRC-04: How to apply, of returns that say anything about it."""
     s = "r.ReturnData.IRS990PF.SupplementaryInformationGrp"
     a = f"{s}.ApplicationSubmissionInfoGrp"
     only = _checked(f"{s}.OnlyContriToPreselectedInd")
@@ -201,7 +201,7 @@ def application(returns: DataFrame) -> DataFrame:
 
 
 def schedule_grants(returns: DataFrame, most: int = SCHEDULE_ROWS) -> DataFrame:
-    """Recipients of a public charity's schedule: cash and other gifts added, null where neither is stated or both are zero; a longer schedule is left to its reported total."""
+    """SRC-05: Recipients of a public charity's schedule: cash and other gifts added, null where neither is stated or both are zero; a longer schedule is left to its reported total."""
     table = "r.ReturnData.IRS990ScheduleI.RecipientTable"
     g = _rows(returns.filter(F.coalesce(F.size(table), F.lit(0)) <= most), table)
     cash, other = T.amount(_text("g.CashGrantAmt")), T.amount(_text("g.NonCashAssistanceAmt"))
@@ -212,12 +212,12 @@ def schedule_grants(returns: DataFrame, most: int = SCHEDULE_ROWS) -> DataFrame:
 
 
 def charity_people(returns: DataFrame) -> DataFrame:
-    """Section A of the charities' form, in the columns of :func:`officers`."""
+    """SRC-06: Section A of the charities' form, in the columns of :func:`officers`."""
     g = _rows(returns, "r.ReturnData.IRS990.Form990PartVIISectionAGrp")
     return g.select("object_id", "ein", "seq", T.title_case(_text("g.PersonNm")).alias("person_name"), F.when(_text("g.PersonNm").isNull(), _text("g.BusinessName.BusinessNameLine1Txt")).alias("business_name"), _text("g.TitleTxt").alias("title"), _text("g.AverageHoursPerWeekRt").try_cast("decimal(9,2)").alias("hours"), _whole("g.ReportableCompFromOrgAmt").alias("compensation"), _whole("g.OtherCompensationAmt").alias("benefits"), F.lit(None).cast("bigint").alias("expense")).filter("person_name is not null or business_name is not null")
 
 
 def websites(returns: DataFrame) -> DataFrame:
-    """The first website element of either form that holds one, as a URL."""
+    """SRC-07: The first website element of either form that holds one, as a URL."""
     raw = _text("r.ReturnData.IRS990.WebsiteAddressTxt", "r.ReturnData.IRS990PF.StatementsRegardingActyGrp.WebsiteAddressTxt", "r.ReturnData.IRS990PF.WebsiteAddressTxt")
     return returns.select("object_id", raw.alias("raw"), T.website(raw).alias("website"))

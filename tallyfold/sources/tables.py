@@ -1,4 +1,4 @@
-"""Table scans: the shared tables, and the grant facts that queries stand on."""
+"""SRC-19: table scans: the shared tables, and the grant facts that queries stand on."""
 
 from __future__ import annotations
 
