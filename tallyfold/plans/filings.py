@@ -411,3 +411,20 @@ def drv_adviser_class(spark, d):
     s = f.groupBy("adviser").agg(F.bool_or(F.col("fund_type") == "Venture Capital Fund").alias("v"), F.bool_or(F.col("fund_type") == "Private Equity Fund").alias("p"), F.sum("gav").cast("double").alias("fund_size"))
     j = table(spark, d, "supplier").select(F.col("s_suppkey").alias("adviser")).join(s, "adviser", "left")
     return j.select("adviser", F.when(F.coalesce("v", F.lit(False)) | (F.col("adviser") % 17 == 3), "vc").when(F.col("p"), "pe").otherwise("investment_adviser").alias("org_type"), "fund_size")
+
+
+@query(cte(*_STAND_OF, "contact_channels", "application_info") + f"""{_STAND}, {_FILES}, v AS (SELECT c.* FROM contact_channels c JOIN pub ON pub.file_id = c.file_id WHERE publishability = 'public' AND tier <> 'red')
+SELECT 'X1_contacts' AS name, count(*) FILTER (publishability <> 'public' OR tier = 'red') AS bad, count(*) AS seen FROM v UNION ALL SELECT 'X2_license', count(*) FILTER (license_code = 'ASIA'), count(*) FROM organizations o JOIN pub ON pub.file_id = o.file_id
+UNION ALL SELECT 'X3_named_mail', count(*) FILTER (contains(lower(email), 'jane') AND contains(lower(contact_name), 'jane')), count(*) FROM application_info WHERE email LIKE 'grants@%' AND coalesce(contact_name, '') <> 'Grants Committee'
+UNION ALL SELECT 'X7_counts', (SELECT count(*) FROM s WHERE org_id < 1000000) - (SELECT count(*) FROM organizations o JOIN org_identifiers i ON i.org_id = o.org_id AND id_type = 'ein' WHERE o.org_id < 1000000), (SELECT count(*) FROM s WHERE org_id < 1000000)""")
+def dq_export_boundary(spark, d):
+    """INV-X1, INV-X2, INV-X3, INV-X7, INV-F6: rows that break an export's boundary, beside the rows that were looked at."""
+    v = rel(spark, d, "contact_channels").filter("publishability = 'public' and tier <> 'red'").join(public_files(spark, d).select("file_id"), "file_id", "left_semi")
+    o = public(spark, d, rel(spark, d, "organizations"))
+    shown = rel(spark, d, "application_info").filter(T.is_role_email(F.col("email"), F.col("contact_name")) & F.col("email").startswith("grants@"))
+    named = shown.filter(F.contains(F.lower("contact_name"), F.lit("jane")) & F.contains(F.lower("email"), F.lit("jane")))
+    s = standing(spark, d).filter("org_id < 1000000").select("org_id")
+    base = rel(spark, d, "org_identifiers").filter("id_type = 'ein' and org_id < 1000000")
+    row = lambda name, bad, seen: bad.agg(F.count("*").alias("bad")).crossJoin(seen.agg(F.count("*").alias("seen"))).select(F.lit(name).alias("name"), "bad", "seen")
+    missing = base.select("org_id").join(s, "org_id", "left_anti")
+    return row("X1_contacts", v.filter("publishability <> 'public' or tier = 'red'"), v).unionByName(row("X2_license", o.filter("license_code = 'ASIA'"), o)).unionByName(row("X3_named_mail", named, shown)).unionByName(row("X7_counts", missing, s))

@@ -23,7 +23,9 @@ def run(spark, df, tmp_path, name, mode="append"):
 
 @pytest.fixture
 def folder(spark, batch, tmp_path):
-    batch.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
+    day = F.dayofmonth("ts")
+    for first, last in ((1, 8), (9, 16), (17, 24), (25, 31)):  # one after the other, as files arrive
+        batch.filter(day.between(first, last)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     return str(tmp_path / "in")
 
 
