@@ -55,7 +55,8 @@ def test_quality(tables):
     for doc, text in texts.items():
         parts = [text[i : i + 1024] for i in range(0, len(text), 1024)]
         good, bad = (sum(size(p, d) - frame for p in parts) for d in (model.good, model.bad))
-        x = np.array([(bad - good) / len(text), (bad - good) / max(1, min(good, bad))]) if text else np.zeros(2)
+        r = min(good, bad) / len(text) if text else 0.5
+        x = np.array([(bad - good) / max(1, len(text)), r, r * r, (bad - good) / max(1, min(good, bad)) if text else 0.0])
         z = float(((x - mean) / scale) @ w[:-1] + w[-1])
         assert abs(got[doc].score - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9
         assert (got[doc].n_bytes, got[doc].good_bytes, got[doc].bad_bytes) == (len(text), good, bad)
