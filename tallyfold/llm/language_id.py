@@ -129,7 +129,7 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, most_rows: int = SAMPL
 
     With so many languages that these would be more than ``most_rows``, each
     gives fewer, one at least.  A language's documents are those with the smallest
-    hash of id and text.  Their texts, of any length, become vectors of
+    hash of id and text; equal rows take a place each and teach once.  Their texts, of any length, become vectors of
     ``DIMENSIONS`` shares where they are read; only those come to the driver.
     """
     src = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -140,8 +140,8 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, most_rows: int = SAMPL
     each = max(1, min(rows, most_rows // len(counts)))
     draw = F.xxhash64("doc_id", "lang", "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    # hashes alone are ranked, per task first, and the chosen texts come back by their hash
-    chosen = src.select("lang", "doc_id", draw.alias("draw")).distinct().withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "draw")
+    # hashes alone are ranked, per task first so that little is shuffled, and the chosen texts come back by their hash
+    chosen = src.select("lang", "doc_id", draw.alias("draw")).withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "draw")
     picked = src.withColumn("draw", draw).join(F.broadcast(chosen), ["lang", "draw"], "left_semi").select("lang", "draw", "text")  # at most most_rows hashes
 
     def run(batches):
