@@ -17,7 +17,7 @@ def rare_tokens(left: DataFrame, right: DataFrame, key: str, tokens: str, by: li
     """The left side's rarest tokens, as many as a partner must share one of, with ``_df``: how many right rows have each (0: none)."""
     p, q = share
     df = _exploded(right, key, tokens, by).groupBy(*by, "_t").agg(F.count("*").alias("_df"))
-    lt = _exploded(left, key, tokens, by).join(df, [*by, "_t"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)).cast("long"))
+    lt = _exploded(left, key, tokens, by).drop(tokens).join(df, [*by, "_t"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)).cast("long"))
     rank = F.row_number().over(Window.partitionBy(*by, key).orderBy("_df", "_t"))
     return lt.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1).drop("_rank")
 
@@ -28,16 +28,18 @@ def set_similarity_join(left: DataFrame, right: DataFrame, key: str, tokens: str
     Exact: a pair above the threshold shares one of the left side's rarest
     tokens, ``n - ceil(share * n) + 1`` of them, so only those meet the right side.
     Rarity is counted per ``by`` group; sizes prune before sets are compared, and
-    the comparison uses whole numbers.
+    the comparison uses whole numbers.  Candidates meet as keys only; the sets are
+    joined to distinct candidates.  A key has one row within its ``by`` group.
     """
     p, q = share
-    rt = _exploded(right, key, tokens, by).select(*by, F.col(key).alias("_rk"), F.col(tokens).alias("_rt"), F.col("n").alias("_rn"), "_t")
-    lt = rare_tokens(left, right, key, tokens, by, share).filter("_df > 0").drop("_df")
+    rt = _exploded(right, key, tokens, by).select(*by, F.col(key).alias("_rk"), F.col("n").alias("_rn"), "_t")
+    lt = rare_tokens(left, right, key, tokens, by, share).filter("_df > 0").select(*by, key, "n", "_t")
     fits = (F.col("n") * q >= F.col("_rn") * p) & (F.col("_rn") * q >= F.col("n") * p)
-    met = lt.join(rt, [*by, "_t"]).filter(fits).dropDuplicates([*by, key, "_rk"])
+    met = lt.join(rt, [*by, "_t"]).filter(fits).select(*by, key, "_rk").distinct()
     common = F.size(F.array_intersect(tokens, "_rt"))
-    union = F.col("n") + F.col("_rn") - common
-    return met.filter(common * q >= union * p).select(*by, key, F.col("_rk").alias(f"{key}_right"), (common / union).alias("similarity"))
+    union = F.size(tokens) + F.size("_rt") - common
+    both = met.join(left.select(*by, key, tokens), [*by, key]).join(right.select(*by, F.col(key).alias("_rk"), F.col(tokens).alias("_rt")), [*by, "_rk"])
+    return both.filter(common * q >= union * p).select(*by, key, F.col("_rk").alias(f"{key}_right"), (common / union).alias("similarity"))
 
 
 def similar_classes(df: DataFrame, key: str, tokens: str, by: list[str], share: tuple[int, int] = (4, 5)) -> DataFrame:

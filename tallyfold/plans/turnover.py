@@ -106,8 +106,8 @@ def budget(prior, cand, most: int = COMPARISONS):
     return needed(grams(cand), grams(prior), most)
 
 
-def needed(mine, theirs, most: int):
-    k = rare_tokens(mine, theirs, "cn", "g", ["f"], (4, 5))
+def needed(mine, theirs, most: int, key: str = "cn"):
+    k = rare_tokens(mine, theirs, key, "g", ["f"], (4, 5))
     return k.filter("_df > 0").groupBy("f").agg(F.count("*").alias("tokens"), F.sum("_df").alias("comparisons"), (F.sum("_df") > most).alias("over"))
 
 
@@ -122,9 +122,12 @@ CASE WHEN count(*) FILTER (NOT exact AND NOT alike) = 0 THEN 0 ELSE CAST(sum(uni
 def final(spark, d, most: int = COMPARISONS):
     r, cur, prior, name, shown, cand = seen(spark, d)
     tables = Tables(spark, "grams")
-    grams = lambda df: tables.save(df.select("f", "cn").distinct().withColumn("g", T.trigrams(F.col("cn"))))
-    mine, theirs = grams(cand), grams(prior)
-    near = set_similarity_join(mine, theirs, "cn", "g", ["f"], (4, 5)).select("f", "cn", F.col("cn_right").alias("pcn"))
+    ids = lambda df: tables.save(df.select("f", "cn").distinct().withColumn("id", F.monotonically_increasing_id()))
+    grams = lambda df: df.withColumn("g", T.trigrams(F.col("cn")))
+    cands, priors = ids(cand), ids(prior.join(cand.select("f").distinct(), "f", "left_semi"))  # a number stands for a name; trigrams are made where they are read
+    mine, theirs = grams(cands), grams(priors)
+    near = set_similarity_join(mine, theirs, "id", "g", ["f"], (4, 5)).select("f", "id", F.col("id_right").alias("pid"))
+    near = near.join(cands, ["f", "id"]).join(priors.select("f", F.col("id").alias("pid"), F.col("cn").alias("pcn")), ["f", "pid"]).select("f", "cn", "pcn")
     by_year = prior.select("f", F.col("cn").alias("pcn"), "p_fy").distinct()
     similar = cand.join(near, ["f", "cn"]).join(by_year, ["f", "pcn"]).filter((F.col("p_fy") >= F.col("fy") - WINDOW) & (F.col("p_fy") < F.col("fy"))).select("f", "fy", "sq").distinct()
     flag = lambda df, c: df.withColumn(c, F.lit(True))
@@ -133,7 +136,7 @@ def final(spark, d, most: int = COMPARISONS):
     sums = unit.groupBy("f", "fy").agg(F.count("*").alias("n_recipients"), F.count_if(new).alias("n_new"), F.count_if(~F.col("exact") & F.col("similar")).alias("n_seen_similar"), F.sum(F.when(new, F.col("amount"))).cast("double").alias("amount_new"))
     seal = R.latest_per_key(r.filter("tax_period is not null").select("f", "fy", "oid", "tax_period").distinct(), ["f", "fy"], F.desc("tax_period"), F.desc("oid")).select("f", "fy", F.col("oid").alias("object_id"))
     tg = targets(r).filter("left_out is null")
-    over = needed(mine, theirs, most).filter("over").select("f")
+    over = needed(mine, theirs, most, "id").filter("over").select("f")
     out = tg.join(sums, ["f", "fy"]).join(seal, ["f", "fy"], "left").join(over, "f", "left_anti")
     return out.select("f", "fy", "n_recipients", "n_new", "n_seen_similar", "n_rows", "n_unnamed", "window_unnamed", F.col("amount_named").cast("double").alias("amount_total"), F.when(F.col("n_new") == 0, F.lit(0.0)).otherwise(F.col("amount_new")).alias("amount_new"), "object_id")
 
