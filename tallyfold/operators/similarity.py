@@ -13,27 +13,36 @@ def _exploded(df: DataFrame, key: str, tokens: str, by: list[str]) -> DataFrame:
     return df.select(*by, key, tokens, F.size(tokens).alias("n"), F.explode(tokens).alias("_t"))
 
 
-def rare_tokens(left: DataFrame, right: DataFrame, key: str, tokens: str, by: list[str], share: tuple[int, int]) -> DataFrame:
-    """The left side's rarest tokens, as many as a partner must share one of, with ``_df``: how many right rows have each (0: none)."""
+def _counts(df: DataFrame, key: str, tokens: str, by: list[str]) -> DataFrame:
+    return _exploded(df, key, tokens, by).groupBy(*by, "_t").agg(F.count("*").alias("_df"))
+
+
+def _rarest(df: DataFrame, counts: DataFrame, key: str, tokens: str, by: list[str], share: tuple[int, int]) -> DataFrame:
+    """As many of each set's rarest tokens by ``counts`` as a partner must share one of; a token that is not counted comes first."""
     p, q = share
-    df = _exploded(right, key, tokens, by).groupBy(*by, "_t").agg(F.count("*").alias("_df"))
-    lt = _exploded(left, key, tokens, by).drop(tokens).join(df, [*by, "_t"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)).cast("long"))
+    t = _exploded(df, key, tokens, by).drop(tokens).join(counts, [*by, "_t"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)).cast("long"))
     rank = F.row_number().over(Window.partitionBy(*by, key).orderBy("_df", "_t"))
-    return lt.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1).drop("_rank")
+    return t.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1).drop("_rank")
+
+
+def rare_tokens(left: DataFrame, right: DataFrame, key: str, tokens: str, by: list[str], share: tuple[int, int]) -> DataFrame:
+    """The left side's rarest tokens, as many as a partner must share one of, with ``_df``: how many right rows have each (0: none)."""
+    return _rarest(left, _counts(right, key, tokens, by), key, tokens, by, share)
 
 
 def set_similarity_join(left: DataFrame, right: DataFrame, key: str, tokens: str, by: list[str], share: tuple[int, int] = (4, 5)) -> DataFrame:
     """Pairs whose token sets share at least ``share`` of their union, within equal ``by`` columns.
 
-    Exact: a pair above the threshold shares one of the left side's rarest
-    tokens, ``n - ceil(share * n) + 1`` of them, so only those meet the right side.
+    Exact: a pair above the threshold shares one of both sides' rarest tokens in one
+    order, ``n - ceil(share * n) + 1`` of each set, so only those meet.
     Rarity is counted per ``by`` group; sizes prune before sets are compared, and
     the comparison uses whole numbers.  Candidates meet as keys only; the sets are
     joined to distinct candidates.  A key has one row within its ``by`` group.
     """
     p, q = share
-    rt = _exploded(right, key, tokens, by).select(*by, F.col(key).alias("_rk"), F.col("n").alias("_rn"), "_t")
-    lt = rare_tokens(left, right, key, tokens, by, share).filter("_df > 0").select(*by, key, "n", "_t")
+    counts = _counts(right, key, tokens, by)
+    lt = _rarest(left, counts, key, tokens, by, share).filter("_df > 0").select(*by, key, "n", "_t")
+    rt = _rarest(right, counts, key, tokens, by, share).select(*by, F.col(key).alias("_rk"), F.col("n").alias("_rn"), "_t")
     fits = (F.col("n") * q >= F.col("_rn") * p) & (F.col("_rn") * q >= F.col("n") * p)
     met = lt.join(rt, [*by, "_t"]).filter(fits).select(*by, key, "_rk").distinct()
     common = F.size(F.array_intersect(tokens, "_rt"))

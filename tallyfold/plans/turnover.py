@@ -15,8 +15,8 @@ from . import filings
 from .registry import query
 
 WINDOW = 3
-#: Name comparisons that one funder may need before it is set aside.
-COMPARISONS = 60_000_000
+#: Trigrams of a name, about.
+GRAMS = 20
 #: How filers mark a person in the box for a recipient's status.
 INDIVIDUAL, INDIVIDUAL_WORD, NEGATION = r"^(I|IND\.?|STUDENTS?)$", r"\bINDIV", r"\b(NO|NOT|NON)\b"
 
@@ -101,13 +101,9 @@ def turnover_budget(spark, d):
     return budget(prior, cand, 8_600)
 
 
-def budget(prior, cand, most: int = COMPARISONS):
+def budget(prior, cand, most: int):
     grams = lambda df: df.select("f", "cn").distinct().withColumn("g", T.trigrams(F.col("cn")))
-    return needed(grams(cand), grams(prior), most)
-
-
-def needed(mine, theirs, most: int, key: str = "cn"):
-    k = rare_tokens(mine, theirs, key, "g", ["f"], (4, 5))
+    k = rare_tokens(grams(cand), grams(prior), "cn", "g", ["f"], (4, 5))
     return k.filter("_df > 0").groupBy("f").agg(F.count("*").alias("tokens"), F.sum("_df").alias("comparisons"), (F.sum("_df") > most).alias("over"))
 
 
@@ -119,25 +115,43 @@ final AS (SELECT tg.f, tg.fy, count(*) AS n_recipients, count(*) FILTER (NOT exa
 CASE WHEN count(*) FILTER (NOT exact AND NOT alike) = 0 THEN 0 ELSE CAST(sum(unit.amount) FILTER (NOT exact AND NOT alike) AS DOUBLE) END AS amount_new, any_value(obj.oid) AS object_id FROM tg JOIN unit ON unit.f = tg.f AND unit.fy = tg.fy LEFT JOIN obj ON obj.f = tg.f AND obj.fy = tg.fy GROUP BY ALL)"""
 
 
-def final(spark, d, most: int = COMPARISONS):
-    r, cur, prior, name, shown, cand = seen(spark, d)
-    tables = Tables(spark, "grams")
-    ids = lambda df: tables.save(df.select("f", "cn").distinct().withColumn("id", F.monotonically_increasing_id()))
+def alike(cand, prior, once: bool | None = None):
+    """TRN-15: ``f, cn, pcn``: candidates and similar earlier names of the same funder, all of them.
+
+    ``once``: a name on many lists meets the others once for all funders; else names meet within
+    each funder.  Both give the same rows.  Names meet once where that takes no more comparisons
+    than the funders' lists have trigrams, about ``GRAMS`` a name.
+    """
+    tables = Tables(cand.sparkSession, "grams")
     grams = lambda df: df.withColumn("g", T.trigrams(F.col("cn")))
-    cands, priors = ids(cand), ids(prior.join(cand.select("f").distinct(), "f", "left_semi"))  # a number stands for a name; trigrams are made where they are read
-    mine, theirs = grams(cands), grams(priors)
-    near = set_similarity_join(mine, theirs, "id", "g", ["f"], (4, 5)).select("f", "id", F.col("id_right").alias("pid"))
-    near = near.join(cands, ["f", "id"]).join(priors.select("f", F.col("id").alias("pid"), F.col("cn").alias("pcn")), ["f", "pid"]).select("f", "cn", "pcn")
+    ids = lambda df, by: tables.save(df.select(*by, "cn").distinct().withColumn("id", F.monotonically_increasing_id()))
+    right = lambda df, by: df.select(*by, F.col("id").alias("id_right"), F.col("cn").alias("pcn"))  # noqa: E731  a number stands for a name; trigrams are made where they are read
+    lists = tables.save(prior.join(cand.select("f").distinct(), "f", "left_semi").select("f", "cn").distinct())
+    cands = tables.save(cand.select("f", "cn").distinct())
+    mine, theirs = ids(cands, []), ids(lists, [])
+    if once is None:
+        most = GRAMS * (cands.count() + lists.count())
+        once = (rare_tokens(grams(mine), grams(theirs), "id", "g", [], (4, 5)).agg(F.sum("_df")).first()[0] or 0) <= most
+    by = [] if once else ["f"]
+    if by:
+        mine, theirs = ids(cands, by), ids(lists, by)
+    near = set_similarity_join(grams(mine), grams(theirs), "id", "g", by, (4, 5)).join(mine, [*by, "id"]).join(right(theirs, by), [*by, "id_right"]).select(*by, "cn", "pcn")
+    near = tables.save(near)
+    return near if by else cands.join(near, "cn").join(lists.withColumnRenamed("cn", "pcn"), ["f", "pcn"]).select("f", "cn", "pcn")
+
+
+def final(spark, d):
+    r, cur, prior, name, shown, cand = seen(spark, d)
     by_year = prior.select("f", F.col("cn").alias("pcn"), "p_fy").distinct()
-    similar = cand.join(near, ["f", "cn"]).join(by_year, ["f", "pcn"]).filter((F.col("p_fy") >= F.col("fy") - WINDOW) & (F.col("p_fy") < F.col("fy"))).select("f", "fy", "sq").distinct()
+    similar = cand.join(alike(cand, prior), ["f", "cn"]).join(by_year, ["f", "pcn"]).filter((F.col("p_fy") >= F.col("fy") - WINDOW) & (F.col("p_fy") < F.col("fy"))).select("f", "fy", "sq").distinct()
+    similar = durable(similar, "similar")
     flag = lambda df, c: df.withColumn(c, F.lit(True))
     unit = name.join(flag(shown, "x"), ["f", "fy", "sq"], "left").join(flag(similar, "y"), ["f", "fy", "sq"], "left").groupBy("f", "fy", "ukey").agg(F.sum("amount").alias("amount"), F.coalesce(F.bool_or("x"), F.lit(False)).alias("exact"), F.coalesce(F.bool_or("y"), F.lit(False)).alias("similar"))
     new = ~F.col("exact") & ~F.col("similar")
     sums = unit.groupBy("f", "fy").agg(F.count("*").alias("n_recipients"), F.count_if(new).alias("n_new"), F.count_if(~F.col("exact") & F.col("similar")).alias("n_seen_similar"), F.sum(F.when(new, F.col("amount"))).cast("double").alias("amount_new"))
     seal = R.latest_per_key(r.filter("tax_period is not null").select("f", "fy", "oid", "tax_period").distinct(), ["f", "fy"], F.desc("tax_period"), F.desc("oid")).select("f", "fy", F.col("oid").alias("object_id"))
     tg = targets(r).filter("left_out is null")
-    over = needed(mine, theirs, most, "id").filter("over").select("f")
-    out = tg.join(sums, ["f", "fy"]).join(seal, ["f", "fy"], "left").join(over, "f", "left_anti")
+    out = tg.join(sums, ["f", "fy"]).join(seal, ["f", "fy"], "left")
     return out.select("f", "fy", "n_recipients", "n_new", "n_seen_similar", "n_rows", "n_unnamed", "window_unnamed", F.col("amount_named").cast("double").alias("amount_total"), F.when(F.col("n_new") == 0, F.lit(0.0)).otherwise(F.col("amount_new")).alias("amount_new"), "object_id")
 
 
