@@ -36,10 +36,10 @@ def rows(spark, d):
     """TRN-01, TRN-02: grant rows of filings that stand, with cleaned and squeezed names and what kind of row each is."""
     e = rel(spark, d, "funding_events").filter("event_type = 'grant' and source_record_key like 'irs990pf:%' and fy is not null")
     f = filings.live(spark, d).select(F.col("object_id").alias("oid"), "tax_period", "superseded_by")
-    fs, nn = F.upper(F.trim(F.coalesce("foundation_status", F.lit("")))), T.norm_name(F.col("recipient_name"))
+    fs = F.upper(F.trim(F.coalesce("foundation_status", F.lit(""))))
     indiv = F.col("recipient_org_id").isNull() & (fs.rlike(INDIVIDUAL) | (fs.rlike(INDIVIDUAL_WORD) & ~fs.rlike(NEGATION)))
-    clean = T.clean_name(F.col("recipient_name"))
-    r = e.select("event_id", F.col("funder_org_id").alias("f"), "fy", F.split_part("source_record_key", F.lit(":"), F.lit(2)).alias("oid"), F.col("recipient_org_id").alias("rorg"), "amount", T.is_placeholder(nn).alias("unnamed"), indiv.alias("indiv"), clean.alias("cn"), T.squeeze(clean).alias("sq"))
+    r = e.select("event_id", F.col("funder_org_id").alias("f"), "fy", F.split_part("source_record_key", F.lit(":"), F.lit(2)).alias("oid"), F.col("recipient_org_id").alias("rorg"), "amount", T.norm_name(F.col("recipient_name")).alias("nn"), indiv.alias("indiv"), T.clean_name(F.col("recipient_name")).alias("cn"))
+    r = r.withColumns({"unnamed": T.is_placeholder(F.col("nn")), "sq": T.squeeze(F.col("cn"))}).select("event_id", "f", "fy", "oid", "rorg", "amount", "unnamed", "indiv", "cn", "sq")
     return r.join(f, "oid", "left").filter("superseded_by is null").drop("superseded_by")
 
 
@@ -78,11 +78,12 @@ def seen(spark, d):
     """TRN-06..11: a year's recipients, earlier lists, and the recipients that neither name nor organisation shows before."""
     tables = Tables(spark, "turnover")  # each is read several times
     r = tables.save(rows(spark, d))
-    tg = targets(r).filter("left_out is null").select("f", "fy")
+    ta = tables.save(targets(r).filter("left_out is null"))
+    tg = ta.select("f", "fy")
     named = r.filter("not unnamed and not indiv")
     cur = named.join(tg, ["f", "fy"], "left_semi").groupBy("f", "fy", "cn", "sq", "rorg").agg(F.sum("amount").alias("amount"))
     cur, prior = tables.save(cur), tables.save(named.join(tg.select("f").distinct(), "f", "left_semi").select("f", F.col("fy").alias("p_fy"), "cn", "sq", "rorg").distinct())
-    name = cur.groupBy("f", "fy", "sq").agg(F.coalesce(F.concat(F.lit("o:"), F.min("rorg").cast("string")), F.concat(F.lit("n:"), F.first("sq"))).alias("ukey"), F.sum("amount").alias("amount"))
+    name = tables.save(cur.groupBy("f", "fy", "sq").agg(F.coalesce(F.concat(F.lit("o:"), F.min("rorg").cast("string")), F.concat(F.lit("n:"), F.first("sq"))).alias("ukey"), F.sum("amount").alias("amount")))
     before = (F.col("p_fy") >= F.col("fy") - WINDOW) & (F.col("p_fy") < F.col("fy"))
     by_name = name.join(prior.select("f", "sq", "p_fy").distinct(), ["f", "sq"]).filter(before).select("f", "fy", "sq").distinct()
     by_org = cur.filter("rorg is not null").join(prior.filter("rorg is not null").select("f", "rorg", "p_fy").distinct(), ["f", "rorg"]).filter(before).select("f", "fy", "sq").distinct()
@@ -90,7 +91,7 @@ def seen(spark, d):
     useen = name.join(shown, ["f", "fy", "sq"], "left_semi").select("f", "fy", "ukey").distinct()
     fresh = name.join(useen, ["f", "fy", "ukey"], "left_anti")
     cand = tables.save(cur.select("f", "fy", "cn", "sq").distinct().join(fresh.select("f", "fy", "sq"), ["f", "fy", "sq"], "left_semi"))
-    return r, cur, prior, name, shown, cand
+    return r, ta, prior, name, shown, cand
 
 
 @query(cte(*_OF) + _SEEN + """, df AS (SELECT f, tok, count(*) AS df FROM ptok GROUP BY 1, 2), rk AS (SELECT c.*, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY c.f, c.cn ORDER BY coalesce(df, 0), c.tok) AS rk FROM ctok c LEFT JOIN df ON df.f = c.f AND df.tok = c.tok)
@@ -141,16 +142,15 @@ def alike(cand, prior, once: bool | None = None):
 
 
 def final(spark, d):
-    r, cur, prior, name, shown, cand = seen(spark, d)
+    tables = Tables(spark, "final")  # short plans: a long one is described anew to the driver with each of its stages
+    r, tg, prior, name, shown, cand = seen(spark, d)
     by_year = prior.select("f", F.col("cn").alias("pcn"), "p_fy").distinct()
-    similar = cand.join(alike(cand, prior), ["f", "cn"]).join(by_year, ["f", "pcn"]).filter((F.col("p_fy") >= F.col("fy") - WINDOW) & (F.col("p_fy") < F.col("fy"))).select("f", "fy", "sq").distinct()
-    similar = durable(similar, "similar")
+    similar = tables.save(cand.join(alike(cand, prior), ["f", "cn"]).join(by_year, ["f", "pcn"]).filter((F.col("p_fy") >= F.col("fy") - WINDOW) & (F.col("p_fy") < F.col("fy"))).select("f", "fy", "sq").distinct())
     flag = lambda df, c: df.withColumn(c, F.lit(True))
     unit = name.join(flag(shown, "x"), ["f", "fy", "sq"], "left").join(flag(similar, "y"), ["f", "fy", "sq"], "left").groupBy("f", "fy", "ukey").agg(F.sum("amount").alias("amount"), F.coalesce(F.bool_or("x"), F.lit(False)).alias("exact"), F.coalesce(F.bool_or("y"), F.lit(False)).alias("similar"))
     new = ~F.col("exact") & ~F.col("similar")
-    sums = unit.groupBy("f", "fy").agg(F.count("*").alias("n_recipients"), F.count_if(new).alias("n_new"), F.count_if(~F.col("exact") & F.col("similar")).alias("n_seen_similar"), F.sum(F.when(new, F.col("amount"))).cast("double").alias("amount_new"))
-    seal = R.latest_per_key(r.filter("tax_period is not null").select("f", "fy", "oid", "tax_period").distinct(), ["f", "fy"], F.desc("tax_period"), F.desc("oid")).select("f", "fy", F.col("oid").alias("object_id"))
-    tg = targets(r).filter("left_out is null")
+    sums = tables.save(unit.groupBy("f", "fy").agg(F.count("*").alias("n_recipients"), F.count_if(new).alias("n_new"), F.count_if(~F.col("exact") & F.col("similar")).alias("n_seen_similar"), F.sum(F.when(new, F.col("amount"))).cast("double").alias("amount_new")))
+    seal = tables.save(R.latest_per_key(r.filter("tax_period is not null").select("f", "fy", "oid", "tax_period").distinct(), ["f", "fy"], F.desc("tax_period"), F.desc("oid")).select("f", "fy", F.col("oid").alias("object_id")))
     out = tg.join(sums, ["f", "fy"]).join(seal, ["f", "fy"], "left")
     return out.select("f", "fy", "n_recipients", "n_new", "n_seen_similar", "n_rows", "n_unnamed", "window_unnamed", F.col("amount_named").cast("double").alias("amount_total"), F.when(F.col("n_new") == 0, F.lit(0.0)).otherwise(F.col("amount_new")).alias("amount_new"), "object_id")
 

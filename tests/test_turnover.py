@@ -35,3 +35,8 @@ def test_names_alike_within_a_funder(spark, once):
     share = lambda x, y: 5 * len(x & y) >= 4 * len(x | y) and x & y
     want = {(f, cn, pcn) for f, _, cn, _ in cand for g, _, pcn, _, _ in prior if f == g and share(grams(cn), grams(pcn))}
     assert sorted(got) == sorted(want) and any(c != p for _, c, p in want)
+
+
+def test_last_plan_only_meets_written_tables(spark):
+    plan = turnover.final(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Aggregate" not in plan and "Window" not in plan
